@@ -48,7 +48,7 @@ def elo(results: DataFrame, k: float = 30.0, home: float = 55.0, start: float =
 
 
 def schedule_strength(matches: DataFrame, sweeps: int = 60, every: int = 10) -> DataFrame:
-    """(team, rating, schedule): Jacobi sweeps of rating = mean(performance + opponent's rating), centred each sweep.
+    """(team, rating, schedule): Jacobi sweeps of rating = mean(performance + opponent's rating), centred.
 
     The state is one row a team; lineage is cut every few sweeps.
     """
@@ -58,10 +58,11 @@ def schedule_strength(matches: DataFrame, sweeps: int = 60, every: int = 10) ->
     for i in range(sweeps):
         other = state.select(F.col("team").alias("opponent"), F.col("rating").alias("r"))
         moved = edges.join(other, "opponent", "left").groupBy("team").agg((F.sum(F.col("p") + F.col("n") * F.coalesce("r", F.lit(0.0))) / F.sum("n")).alias("rating"))
-        mean = moved.agg(F.avg("rating").alias("mean")).withColumn("one", F.lit(1))
-        state = moved.withColumn("one", F.lit(1)).join(F.broadcast(mean), "one").select("team", (F.col("rating") - F.col("mean")).alias("rating"))
-        if i % every == every - 1:
-            state = cut(state)
+        state = moved
+        # a constant passes through a sweep unchanged, so the mean may be taken off where the lineage is cut
+        if i % every == every - 1 or i == sweeps - 1:
+            mean = moved.agg(F.avg("rating").alias("mean")).withColumn("one", F.lit(1))
+            state = cut(moved.withColumn("one", F.lit(1)).join(F.broadcast(mean), "one").select("team", (F.col("rating") - F.col("mean")).alias("rating")))
     faced = edges.join(state.select(F.col("team").alias("opponent"), F.col("rating").alias("r")), "opponent", "left")
     return state.join(faced.groupBy("team").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("schedule")), "team", "left")
 

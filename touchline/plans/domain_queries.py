@@ -1,9 +1,457 @@
 """Registered queries of the as-of feature layer and the decision layer, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from touchline.functions import scalar as S
+from touchline.models import decisions, rate
+from touchline.operators import asof, ratings, resolve, splits
+from touchline.session import read
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def nan_null(df: DataFrame) -> DataFrame:
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def player_match(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical rows: one a (match, player), the last delivered; missing readings are NULL; names and teams present."""
+    rows = nan_null(read(spark, d, "combined_player_match")).dropna(subset=["match_id", "player_id", "player", "team"])
+    return asof.keep_last(rows, ["match_id", "player_id"], [F.col("ingested_at"), F.col("row_id")])
+
+
+_D = lambda c: f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
+PM = f"""pm AS (SELECT * FROM (SELECT row_id, match_id, match_date, competition, provider, team, opponent, player_id, player, position,
+ {_D('minutes')} AS minutes, {_D('passes_attempted')} AS passes_attempted, {_D('depth')} AS depth, started, stage, is_friendly, is_qualifier,
+ row_number() OVER (PARTITION BY match_id, player_id ORDER BY ingested_at DESC, row_id DESC) AS rn
+ FROM combined_player_match WHERE match_id IS NOT NULL AND player_id IS NOT NULL AND player IS NOT NULL AND team IS NOT NULL) WHERE rn = 1)"""
+PER90 = "passes_attempted / CASE WHEN minutes IS NULL THEN NULL ELSE greatest(minutes, 1) END * 90"
+r6 = lambda c, n=6: F.round(c, n)
+
+
+@query(f"WITH {PM} SELECT row_id, match_id, player_id FROM pm")
+def keep_last_player_match(spark, d):
+    return player_match(spark, d).select("row_id", "match_id", "player_id")
+
+
+@query("""SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS mean_before FROM events""")
+def asof_expanding_mean(spark, d):
+    e = read(spark, d, "events")
+    return asof.expanding_mean(e, ["user_id"], ["ts", "event_id"], "value", "m").select("event_id", "user_id", r6("m").alias("mean_before"))
+
+
+@query("""WITH p AS (SELECT a.event_id, b.event_type AS c, sum(b.value) AS s, count(*) AS n, max(b.ts) AS m FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts < a.ts GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY m DESC) AS k FROM p), s AS (SELECT event_id, sum(s) / sum(n) AS v FROM r WHERE k <= 2 GROUP BY event_id)
+SELECT e.event_id, e.user_id, round(s.v, 6) AS recent_mean FROM events e LEFT JOIN s ON e.event_id = s.event_id""")
+def last2_group_mean(spark, d):
+    e = read(spark, d, "events")
+    return asof.last_groups_mean(e, "user_id", "event_type", ["ts", "event_id"], "event_id", "value", 2, "m").select("event_id", "user_id", r6("m").alias("recent_mean"))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+g AS (SELECT *, pow(2, rn / 3.0::DOUBLE) AS g FROM n) SELECT event_id, user_id, round(sum(g * value) OVER w / sum(g) OVER w, 6) AS decayed FROM g
+WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def decay_mean_by_style(spark, d):
+    e = read(spark, d, "events")
+    return asof.decay_mean(e, ["user_id", "event_type"], ["ts", "event_id"], F.col("value"), 3.0, "m").select("event_id", "user_id", r6("m").alias("decayed"))
+
+
+@query(f"""WITH {PM}, n AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY match_date, match_id) AS k FROM pm),
+g AS (SELECT *, pow(2, k / 5.0::DOUBLE) AS g FROM n) SELECT row_id, round(coalesce(sum(g * CASE WHEN coalesce(started, false) THEN 1.0 ELSE 0.0 END) OVER w / sum(g) OVER w, 0.5), 6) AS p_start FROM g
+WINDOW w AS (PARTITION BY player_id ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def recent_start_prob(spark, d):
+    pm = player_match(spark, d)
+    started = F.coalesce(F.col("started"), F.lit(False)).cast("double")
+    return asof.decay_mean(pm, ["player_id"], ["match_date", "match_id"], started, 5.0, "p").select("row_id", r6(F.coalesce("p", F.lit(0.5))).alias("p_start"))
+
+
+TM = f"""{PM}, tm0 AS (SELECT match_id, match_date, competition, team, opponent, coalesce(sum(passes_attempted), 0) AS team_passes FROM pm
+ WHERE match_date IS NOT NULL AND competition IS NOT NULL AND opponent IS NOT NULL GROUP BY ALL),
+tm AS (SELECT a.*, a.team_passes / nullif(sum(a.team_passes) OVER (PARTITION BY a.match_id), 0) AS possession_share, b.p AS opp_passes_allowed
+ FROM tm0 a LEFT JOIN (SELECT match_id, team, max(team_passes) AS p FROM tm0 GROUP BY ALL) b ON a.match_id = b.match_id AND a.opponent = b.team)"""
+
+
+@query(f"WITH {TM} SELECT match_id, team, opponent, team_passes, round(possession_share, 6) AS possession_share, opp_passes_allowed FROM tm")
+def team_match_table(spark, d):
+    return ratings.team_match(player_match(spark, d)).select("match_id", "team", "opponent", "team_passes", r6("possession_share").alias("possession_share"), "opp_passes_allowed")
+
+
+@query(f"""WITH {TM} SELECT match_id, team, opponent, round(avg(possession_share) OVER w, 6) AS team_poss_asof, round(avg(opp_passes_allowed) OVER w, 6) AS opp_allowed_asof FROM tm
+WINDOW w AS (PARTITION BY team ORDER BY match_date, match_id, opponent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def team_asof_context(spark, d):
+    t = ratings.team_match(player_match(spark, d))
+    o = ["match_date", "match_id", "opponent"]
+    t = asof.expanding_mean(asof.expanding_mean(t, ["team"], o, "possession_share", "p"), ["team"], o, "opp_passes_allowed", "a")
+    return t.select("match_id", "team", "opponent", r6("p").alias("team_poss_asof"), r6("a").alias("opp_allowed_asof"))
+
+
+def _style(spark, d):
+    t = ratings.team_match(player_match(spark, d)).groupBy("team").agg(F.avg("possession_share").alias("poss"), F.avg("team_passes").alias("vol"), F.avg("opp_passes_allowed").alias("allow")).dropna()
+    stats = t.agg(*[f(c).alias(f"{n}_{c}") for c in ("poss", "vol", "allow") for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    return t.withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")
+
+
+@query(f"""WITH {TM}, p AS (SELECT team, avg(possession_share) AS poss, avg(team_passes) AS vol, avg(opp_passes_allowed) AS allow FROM tm GROUP BY team),
+q AS (SELECT * FROM p WHERE poss IS NOT NULL AND vol IS NOT NULL AND allow IS NOT NULL)
+SELECT team, round((poss - avg(poss) OVER ()) / stddev_samp(poss) OVER (), 6) AS z_poss, round((vol - avg(vol) OVER ()) / stddev_samp(vol) OVER (), 6) AS z_vol, round((allow - avg(allow) OVER ()) / stddev_samp(allow) OVER (), 6) AS z_allow FROM q""")
+def style_profile(spark, d):
+    return _style(spark, d).select("team", *[r6(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}"))).alias(f"z_{c}") for c in ("poss", "vol", "allow")])
+
+
+@query()
+def style_clusters(spark, d):
+    """Clusters of team styles, numbered by their centre's possession; one cluster if there are fewer teams than k."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    z = style_profile(spark, d).fillna(0.0)
+    data = VectorAssembler(inputCols=["z_poss", "z_vol", "z_allow"], outputCol="features").transform(z).persist()
+    k = 4
+    if data.limit(k).count() < k:
+        return z.select("team", F.lit(0).alias("style"))
+    best = min((KMeans(k=k, seed=s).fit(data) for s in range(3)), key=lambda m: m.summary.trainingCost)
+    order = sorted(range(k), key=lambda i: tuple(best.clusterCenters()[i]))
+    rank = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])
+    return best.transform(data).select("team", rank[F.col("prediction")].alias("style"))
+
+
+ROLE = """CASE WHEN lower(position) LIKE '%center back%' OR lower(position) LIKE '%centre back%' THEN 'CB' WHEN lower(position) LIKE '%back%' THEN 'FB'
+ WHEN lower(position) LIKE '%defensive mid%' OR lower(position) LIKE '%pivot%' THEN 'DM' WHEN lower(position) LIKE '%midfield%' THEN 'CM' WHEN lower(position) LIKE '%wing%' THEN 'W'
+ WHEN lower(position) LIKE '%forward%' OR lower(position) LIKE '%striker%' THEN 'ST' WHEN lower(position) LIKE '%keeper%' THEN 'GK' ELSE 'UNK' END"""
+
+
+@query(f"""SELECT row_id, {ROLE} AS role, CASE WHEN {_D('depth')} IS NULL THEN 'Center Midfield' WHEN depth <= 0.15 THEN 'Goalkeeper' WHEN depth <= 0.38 THEN 'Center Back' WHEN depth <= 0.62 THEN 'Center Midfield' ELSE 'Center Forward' END AS depth_position,
+CAST(contains(lower(coalesce(competition, '')), 'qualif') AS INT) AS is_qualifier_name, round({PER90.replace('minutes', 'm').replace('passes_attempted', 'p')}, 6) AS per90
+FROM (SELECT *, {_D('minutes')} AS m, {_D('passes_attempted')} AS p FROM combined_player_match)""")
+def role_and_flags(spark, d):
+    t = nan_null(read(spark, d, "combined_player_match"))
+    return t.select("row_id", S.role_bucket(F.col("position")).alias("role"), S.position_from_depth(F.col("depth")).alias("depth_position"), S.competition_flags(F.col("competition"))[0].alias("is_qualifier_name"), r6(S.per90(F.col("passes_attempted"), F.col("minutes"))).alias("per90"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_flatten(spark, d):
+    return read(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query(f"""WITH {PM}, c AS (SELECT player_id, position, count(*) AS n FROM pm WHERE position IS NOT NULL GROUP BY ALL)
+SELECT player_id, position FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY n DESC, position) AS k FROM c) WHERE k = 1""")
+def modal_position(spark, d):
+    c = player_match(spark, d).dropna(subset=["position"]).groupBy("player_id", "position").agg(F.count("*").alias("n"))
+    least = c.groupBy("player_id").agg(F.max("n").alias("most")).join(c, "player_id").filter("n = most")
+    return least.groupBy("player_id").agg(F.min("position").alias("position"))
+
+
+@query(f"""WITH {PM} SELECT round(median(minutes), 6) AS med_minutes, round(avg(minutes), 6) AS mean_minutes, round(stddev_samp(minutes), 6) AS std_minutes, round(median(passes_attempted), 6) AS med_passes,
+round(avg(passes_attempted), 6) AS mean_passes, round(stddev_samp(passes_attempted), 6) AS std_passes FROM pm""")
+def robust_scale(spark, d):
+    pm = player_match(spark, d)
+    cols = [(n, c) for n, c in (("minutes", "minutes"), ("passes", "passes_attempted"))]
+    return pm.agg(*[x for n, c in cols for x in (r6(F.percentile(c, 0.5)).alias(f"med_{n}"), r6(F.avg(c)).alias(f"mean_{n}"), r6(F.stddev_samp(c)).alias(f"std_{n}"))])
+
+
+def _rated(spark, d):
+    pm = player_match(spark, d).filter("minutes > 0 and passes_attempted is not null")
+    return pm.withColumn("per90", S.per90(F.col("passes_attempted"), F.col("minutes"))).withColumn("role", S.role_bucket(F.col("position")))
+
+
+@query(f"""WITH {PM}, x AS (SELECT *, {PER90} AS per90, {ROLE} AS role FROM pm WHERE minutes > 0 AND passes_attempted IS NOT NULL),
+l AS (SELECT player_id, competition, max(match_date) AS m, sum(per90) AS s, count(*) AS n FROM x GROUP BY ALL),
+k AS (SELECT player_id, sum(s) AS s, sum(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY m DESC, competition DESC) AS rk FROM l) WHERE rk <= 2 GROUP BY 1),
+ro AS (SELECT player_id, role FROM (SELECT player_id, role, row_number() OVER (PARTITION BY player_id ORDER BY count(*) DESC, role) AS rk FROM x GROUP BY player_id, role) WHERE rk = 1),
+rm AS (SELECT role, avg(per90) AS mean FROM x GROUP BY role)
+SELECT k.player_id, CAST(k.n AS BIGINT) AS n, round(k.n / (k.n + 2.0) * ln(greatest(k.s / k.n, 1) / greatest(rm.mean, 1)), 6) AS center FROM k JOIN ro USING (player_id) JOIN rm USING (role)""")
+def prior_center(spark, d):
+    x = _rated(spark, d)
+    groups = x.groupBy("player_id", "competition").agg(F.max("match_date").alias("m"), F.sum("per90").alias("s"), F.count("*").alias("n"))
+    last = groups.withColumn("rk", F.row_number().over(W.partitionBy("player_id").orderBy(F.desc("m"), F.desc("competition")))).filter("rk <= 2").groupBy("player_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    roles = x.groupBy("player_id", "role").agg(F.count("*").alias("c")).groupBy("player_id").agg(F.min_by("role", F.struct(-F.col("c"), "role")).alias("role"))
+    means = x.groupBy("role").agg(F.avg("per90").alias("mean"))
+    center = F.col("n") / (F.col("n") + 2.0) * F.ln(F.greatest(F.col("s") / F.col("n"), F.lit(1.0)) / F.greatest("mean", F.lit(1.0)))
+    return last.join(roles, "player_id").join(means, "role").select("player_id", "n", r6(center).alias("center"))
+
+
+@query(f"""WITH {PM}, x AS (SELECT *, {PER90} AS per90, {ROLE} AS role FROM pm),
+h AS (SELECT row_id, role, avg(per90) OVER (PARTITION BY player_id ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own FROM x),
+rm AS (SELECT role, avg(per90) AS mean FROM x WHERE minutes > 0 GROUP BY role) SELECT h.row_id, round(coalesce(own, mean, (SELECT median(per90) FROM x)), 6) AS anchor FROM h LEFT JOIN rm ON h.role = rm.role""")
+def anchor_fallback(spark, d):
+    x = player_match(spark, d).withColumn("per90", S.per90(F.col("passes_attempted"), F.col("minutes"))).withColumn("role", S.role_bucket(F.col("position")))
+    h = asof.expanding_mean(x, ["player_id"], ["match_date", "match_id"], "per90", "own")
+    means = x.filter("minutes > 0").groupBy("role").agg(F.avg("per90").alias("mean"))
+    med = x.agg(F.percentile("per90", 0.5).alias("med")).withColumn("one", F.lit(1))
+    out = h.join(means, "role", "left").withColumn("one", F.lit(1)).join(F.broadcast(med), "one")
+    return out.select("row_id", r6(F.coalesce("own", "mean", "med")).alias("anchor"))
+
+
+ESPN = f"""es AS (SELECT * FROM (SELECT row_id, competition, date, team, opponent, {_D('possession')} AS possession, {_D('goals_for')} AS goals_for, {_D('goals_against')} AS goals_against, {_D('margin')} AS margin, ingested_at,
+ row_number() OVER (PARTITION BY competition, date, team, opponent ORDER BY ingested_at DESC, row_id DESC) AS rn FROM espn_team_match) WHERE rn = 1)"""
+
+
+def _espn(spark, d):
+    keys = ["competition", "date", "team", "opponent"]
+    return asof.keep_last(nan_null(read(spark, d, "espn_team_match")), keys, [F.col("ingested_at"), F.col("row_id")])
+
+
+def _results(spark, d):
+    e = _espn(spark, d).dropna(subset=["goals_for", "goals_against", "team", "opponent"]).filter("team < opponent")
+    return e.select(F.col("team").alias("home"), F.col("opponent").alias("away"), F.col("ingested_at").alias("at"), F.col("goals_for").alias("home_goals"), F.col("goals_against").alias("away_goals"))
+
+
+@query()
+def elo_timeline(spark, d):
+    return ratings.elo(_results(spark, d)).select("team", "at", r6("rating").alias("rating"))
+
+
+@query()
+def elo_asof_join(spark, d):
+    """Ratings of both sides strictly before each match, 1500 where there is none."""
+    r = ratings.elo(_results(spark, d)).groupBy("team", "at").agg(F.max("rating").alias("rating"))
+    sides = ratings.team_match(player_match(spark, d)).select("match_id", "team", "opponent", F.col("match_date").alias("at"))
+    one = asof.asof_last(sides, r, "team", "at", "rating", "team_elo")
+    two = asof.asof_last(one, r.withColumnRenamed("team", "opponent"), "opponent", "at", "rating", "opp_elo")
+    return two.select("match_id", "team", *[r6(F.coalesce(c, F.lit(1500.0))).alias(c) for c in ("team_elo", "opp_elo")])
+
+
+@query(f"""WITH {TM}, {ESPN}, h AS (SELECT team, ingested_at AS seen, avg(possession) OVER (PARTITION BY team ORDER BY ingested_at, row_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS p, row_id FROM es WHERE possession IS NOT NULL AND team IS NOT NULL),
+h1 AS (SELECT team, seen, arg_max(p, row_id) AS p FROM h GROUP BY team, seen)
+SELECT tm.match_id, tm.team, tm.opponent, round(h1.p, 6) AS poss10 FROM tm ASOF LEFT JOIN h1 ON tm.team = h1.team AND tm.match_date > h1.seen""")
+def rolling10_asof(spark, d):
+    e = _espn(spark, d).dropna(subset=["possession", "team"])
+    h = asof.rolling_mean(e, ["team"], ["ingested_at", "row_id"], "possession", 10, "p").groupBy("team", F.col("ingested_at").alias("at")).agg(F.max_by("p", "row_id").alias("p"))
+    t = ratings.team_match(player_match(spark, d)).select("match_id", "team", "opponent", F.col("match_date").alias("at"))
+    return asof.asof_last(t, h, "team", "at", "p", "x").select("match_id", "team", "opponent", r6("x").alias("poss10"))
+
+
+@query()
+def sos_ratings(spark, d):
+    return ratings.schedule_strength(_espn(spark, d)).select("team", F.round("rating", 3).alias("rating"), F.round("schedule", 3).alias("schedule"))
+
+
+@query(f"""WITH {PM}, f AS (SELECT competition, min(match_date) AS cutoff FROM pm GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY cutoff, competition) - 1 AS fold FROM f)
+SELECT k.competition, CAST(k.fold AS INT) AS fold, (SELECT count(*) FROM pm WHERE pm.match_date < k.cutoff) AS n_train, (SELECT count(*) FROM pm WHERE pm.competition = k.competition) AS n_test FROM k WHERE fold >= 2""")
+def walk_forward_folds(spark, d):
+    pm = player_match(spark, d)
+    # rows a competition's first instant lies behind, from counts a day: one pass, no join of folds and rows
+    at = pm.groupBy("match_date").agg(F.count("*").alias("n"))
+    folds = splits.fold_table(pm)
+    marks = at.select("match_date", "n", F.lit(None).cast("string").alias("competition")).unionByName(folds.select(F.col("cutoff").alias("match_date"), F.lit(0).cast("long").alias("n"), "competition"))
+    w = W.orderBy("match_date").rangeBetween(W.unboundedPreceding, W.currentRow)
+    upto = marks.withColumn("upto", F.sum("n").over(w)).filter("competition is not null").join(at.withColumnRenamed("n", "here"), "match_date", "left")
+    tests = pm.groupBy("competition").agg(F.count("*").alias("n_test"))
+    return folds.join(upto.select("competition", (F.col("upto") - F.coalesce("here", F.lit(0))).alias("n_train")), "competition").join(tests, "competition").select("competition", F.col("fold").cast("int").alias("fold"), "n_train", "n_test")
+
+
+@query(f"""WITH {PM}, s AS (SELECT * FROM pm WHERE started), l AS (SELECT *, rank() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS k FROM s) SELECT DISTINCT team, match_id, player_id FROM l WHERE k = 1""")
+def last_lineup(spark, d):
+    s = player_match(spark, d).filter("started")
+    last = s.groupBy("team").agg(F.max(F.struct("match_date", "match_id")).alias("m")).select("team", F.col("m.match_id").alias("match_id"))
+    return s.join(last, ["team", "match_id"]).select("team", "match_id", "player_id").distinct()
+
+
+@query("""WITH old AS (SELECT DISTINCT match_id FROM combined_player_match WHERE provider = 'fotmob') SELECT row_id FROM fotmob_wc2026 f WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.match_id = f.match_id + 70000000)""")
+def incremental_anti(spark, d):
+    old = read(spark, d, "combined_player_match").filter("provider = 'fotmob'").select((F.col("match_id") - 70_000_000).alias("match_id")).distinct()
+    return read(spark, d, "fotmob_wc2026").join(old, "match_id", "left_anti").select("row_id")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus <> 'F'),
+u AS (SELECT *, 0 AS g FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM n) UNION ALL SELECT *, 1 FROM n)
+SELECT o_custkey, o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM u) WHERE k = 1""")
+def keep_last_upsert(spark, d):
+    o = read(spark, d, "orders")
+    last = lambda x: asof.keep_last(x.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
+    done = asof.upsert(last(o.filter("o_orderstatus = 'F'")), last(o.filter("o_orderstatus <> 'F'")), ["o_custkey"])
+    return done.select("o_custkey", "o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+@query("""SELECT 'sb' AS src, row_id, minutes_known, NULL::VARCHAR AS feed, season FROM (SELECT row_id, NOT isnan(minutes) AND minutes IS NOT NULL AS minutes_known, season FROM sb_player_match)
+UNION ALL SELECT 'fm', row_id, NOT isnan(minutes) AND minutes IS NOT NULL, feed, NULL FROM fotmob_wc2026""")
+def union_missing_columns(spark, d):
+    known = F.coalesce(~F.isnan("minutes"), F.lit(False)) & F.col("minutes").isNotNull()
+    a = read(spark, d, "sb_player_match").select(F.lit("sb").alias("src"), "row_id", known.alias("minutes_known"), "season")
+    b = read(spark, d, "fotmob_wc2026").select(F.lit("fm").alias("src"), "row_id", known.alias("minutes_known"), "feed")
+    return a.unionByName(b, allowMissingColumns=True).select("src", "row_id", "minutes_known", "feed", "season")
+
+
+_MARKS = "àáâãäåāăąắấầậèéêëēĕėęěếềệìíîïĩīĭįıòóôõöøōŏőốồộùúûüũūŭůűųứừựçćĉċčñńņňšśŝşžźżřŕťţďđðłľĺýÿğģķ"
+_PLAIN = "aaaaaaaaaaaaaeeeeeeeeeeeeiiiiiiiiiooooooooooooouuuuuuuuuuuuuccccccnnnnsssszzzrrttdddlllyyggk"
+_FOLD = lambda c: f"translate(lower(trim({c})), '{_MARKS}', '{_PLAIN}')"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT player_id, {_FOLD('team')} AS team, {_FOLD('player')} AS name FROM combined_player_match WHERE provider = 'statsbomb' AND player IS NOT NULL AND team IS NOT NULL),
+w AS (SELECT *, string_split_regex(name, '\\s+') AS p FROM k), e AS (SELECT team, name, max(player_id) AS id1 FROM k GROUP BY ALL),
+f AS (SELECT team, p[1] AS a, p[-1] AS z, min(player_id) AS id2 FROM w WHERE len(p) >= 2 GROUP BY ALL), l AS (SELECT team, p[-1] AS z, min(player_id) AS id3 FROM w WHERE len(p) >= 2 GROUP BY ALL),
+q AS (SELECT row_id, {_FOLD('team')} AS team, {_FOLD('player')} AS name, string_split_regex({_FOLD('player')}, '\\s+') AS p FROM combined_player_match WHERE provider = 'fotmob')
+SELECT q.row_id, coalesce(id1, id2, id3) AS player_id, CASE WHEN id1 IS NOT NULL THEN 1 WHEN id2 IS NOT NULL THEN 2 WHEN id3 IS NOT NULL THEN 3 END AS step
+FROM q LEFT JOIN e ON q.team = e.team AND q.name = e.name LEFT JOIN f ON len(q.p) >= 2 AND q.team = f.team AND q.p[1] = f.a AND q.p[-1] = f.z LEFT JOIN l ON len(q.p) >= 2 AND q.team = l.team AND q.p[-1] = l.z""")
+def resolve_cascade(spark, d):
+    t = read(spark, d, "combined_player_match")
+    return resolve.resolve(t.filter("provider = 'fotmob'"), t.filter("provider = 'statsbomb'"))
+
+
+@query("""WITH t AS (SELECT match_id, min(team) AS a, max(team) AS b FROM combined_player_match WHERE match_id IS NOT NULL AND team IS NOT NULL GROUP BY match_id HAVING count(DISTINCT team) = 2)
+SELECT match_id, a AS team, b AS opponent FROM t UNION ALL SELECT match_id, b, a FROM t""")
+def opponent_infer(spark, d):
+    return resolve.infer_opponent(read(spark, d, "combined_player_match"))
+
+
+@query(f"""WITH {PM}, s AS (SELECT team, match_id, player_id, passes_attempted AS p FROM pm WHERE minutes >= 45 AND passes_attempted IS NOT NULL)
+SELECT a.player_id AS player_a, b.player_id AS player_b, count(*) AS n, round(CASE WHEN count(*) >= 5 AND stddev_pop(a.p) > 0 AND stddev_pop(b.p) > 0 THEN corr(a.p, b.p) ELSE 0.6 END, 5) AS corr
+FROM s a JOIN s b ON a.match_id = b.match_id AND a.team = b.team AND a.player_id < b.player_id GROUP BY ALL""")
+def pair_corr(spark, d):
+    s = player_match(spark, d).filter("minutes >= 45 and passes_attempted is not null").select("team", "match_id", "player_id", F.col("passes_attempted").alias("p"))
+    a, b = s.toDF("team", "match_id", "player_a", "pa"), s.toDF("team", "match_id", "player_b", "pb")
+    # partners on one sheet: at most the squad of a match
+    g = a.join(b, ["team", "match_id"]).filter("player_a < player_b").groupBy("player_a", "player_b")
+    corr = F.try_divide(F.covar_pop("pa", "pb"), F.stddev_pop("pa") * F.stddev_pop("pb"))
+    c = F.coalesce(F.when(F.count("*") >= 5, corr), F.lit(0.6))
+    return g.agg(F.count("*").alias("n"), F.round(c, 5).alias("corr"))
+
+
+@query(f"WITH {PM} SELECT row_id FROM pm WHERE NOT coalesce({PER90} > 150 OR (minutes < 5 AND passes_attempted > 8), false)")
+def clean_corrupt(spark, d):
+    return player_match(spark, d).filter(~S.corrupt(F.col("minutes"), F.col("passes_attempted"))).select("row_id")
+
+
+@query(f"""WITH {PM} SELECT {ROLE} AS role, coalesce(started, false) AS started, count(*) AS n, round(avg(least(minutes, 98)), 6) AS mean_minutes, round(quantile_cont(least(minutes, 98), 0.1), 6) AS p10, round(quantile_cont(least(minutes, 98), 0.9), 6) AS p90
+FROM pm WHERE minutes > 0 GROUP BY ALL""")
+def minutes_pools(spark, d):
+    m = S.bound(F.col("minutes"), high=98.0)
+    pm = player_match(spark, d).filter("minutes > 0").withColumn("m", m)
+    g = pm.groupBy(S.role_bucket(F.col("position")).alias("role"), F.coalesce("started", F.lit(False)).alias("started"))
+    return g.agg(F.count("*").alias("n"), r6(F.avg("m")).alias("mean_minutes"), r6(F.percentile("m", 0.1)).alias("p10"), r6(F.percentile("m", 0.9)).alias("p90"))
+
+
+@query("""SELECT o_orderkey, round(1 - coalesce((SELECT sum(exp(lgamma(k + 5.0) - lgamma(5.0) - lgamma(k + 1.0) + 5.0 * ln(5.0 / (5.0 + mu)) + k * ln(mu / (5.0 + mu)))) FROM (SELECT unnest(generate_series(0, 44)) AS k)), 0), 6) AS p_over
+FROM (SELECT o_orderkey, 20 + o_orderkey % 40 AS mu FROM orders)""")
+def nb_prob_over(spark, d):
+    mu = (20 + F.col("o_orderkey") % 40).cast("double")
+    return read(spark, d, "orders").select("o_orderkey", r6(S.nb_tail(mu, F.lit(5.0), F.lit(45))).alias("p_over"))
+
+
+def _history(spark, d):
+    x = player_match(spark, d).filter("passes_attempted is not null").select("player_id", "row_id", "match_date", "match_id", "passes_attempted")
+    w = W.partitionBy("player_id").orderBy("match_date", "match_id").rowsBetween(-20, -1)
+    return x.withColumn("samples", F.collect_list("passes_attempted").over(w)).filter(F.size("samples") >= 3)
+
+
+HIST = f"""{PM}, o AS (SELECT player_id, row_id, passes_attempted AS y, row_number() OVER (PARTITION BY player_id ORDER BY match_date, match_id) AS k FROM pm WHERE passes_attempted IS NOT NULL),
+hs AS (SELECT a.row_id, a.y, b.y AS x FROM o a JOIN o b ON a.player_id = b.player_id AND b.k BETWEEN a.k - 20 AND a.k - 1 WHERE a.k >= 4)"""
+
+
+@query(f"""WITH {HIST}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY x) AS i, count(*) OVER (PARTITION BY row_id) AS n FROM hs)
+SELECT row_id, round(avg(abs(x - y)) - sum((2 * i - n - 1) * x) / max(n) / max(n), 6) AS crps FROM r GROUP BY row_id""")
+def crps_empirical(spark, d):
+    return _history(spark, d).select("row_id", r6(S.crps(F.col("samples"), F.col("passes_attempted"))).alias("crps"))
+
+
+@query(f"""WITH {HIST}, p AS (SELECT row_id, avg((x >= 30)::INT) AS p, max((y >= 30)::INT) AS y FROM hs GROUP BY row_id), q AS (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS c FROM p)
+SELECT round(-avg(y * ln(c) + (1 - y) * ln(1 - c)), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier, count(*) AS n FROM q""")
+def log_loss_brier(spark, d):
+    h = _probabilities(spark, d)
+    return h.agg(r6(S.log_loss(F.col("p"), F.col("y"))).alias("log_loss"), r6(F.avg(F.pow(F.col("p") - F.col("y"), 2))).alias("brier"), F.count("*").alias("n"))
+
+
+def _probabilities(spark, d):
+    return _history(spark, d).select("row_id", "player_id", "passes_attempted", S.prob_over(F.col("samples"), F.lit(30.0)).alias("p"), (F.col("passes_attempted") >= 30).cast("double").alias("y"))
+
+
+@query(f"""WITH {HIST}, p AS (SELECT row_id, avg((x >= 30)::INT) AS p, max((y >= 30)::INT) AS y FROM hs GROUP BY row_id)
+SELECT CAST(floor(p * 10 + 1e-9) AS INT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS hit_rate FROM p WHERE p >= 0.5 GROUP BY 1""")
+def reliability_bins(spark, d):
+    h = _probabilities(spark, d).filter("p >= 0.5")
+    return h.groupBy(F.floor(F.col("p") * 10 + 1e-9).cast("int").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("p")).alias("mean_p"), r6(F.avg("y")).alias("hit_rate"))
+
+
+@query()
+def isotonic_fit(spark, d):
+    return decisions.isotonic(_probabilities(spark, d), "p", "y")
+
+
+EDGE = f"""{HIST}, p AS (SELECT row_id, avg((x >= 30)::INT) AS p_over, max(y) AS actual FROM hs GROUP BY row_id),
+e AS (SELECT *, CASE WHEN p_over >= 0.5 THEN 'MORE' ELSE 'LESS' END AS pick, greatest(p_over, 1 - p_over) AS p_pick FROM p)"""
+
+
+def _edges(spark, d):
+    return decisions.edge_table(_probabilities(spark, d).select("row_id", "player_id", F.col("p").alias("p_over"), F.col("passes_attempted").alias("actual"), F.lit(29.5).alias("line")))
+
+
+@query(f"WITH {EDGE} SELECT row_id, pick, round(p_pick, 6) AS p_pick, round(p_pick - pow(1 / 20.0, 1 / 5.0), 6) AS edge FROM e")
+def edge_table(spark, d):
+    return _edges(spark, d).select("row_id", "pick", r6("p_pick").alias("p_pick"), r6("edge").alias("edge"))
+
+
+@query(f"""WITH {EDGE}, g AS (SELECT count(*) AS plays, sum(((actual >= 30) = (pick = 'MORE'))::INT) AS hits FROM e) SELECT plays, CAST(hits AS BIGINT) AS hits, round(hits / plays, 6) AS hit_rate, round(hits / plays * 0.87 - (1 - hits / plays), 6) AS roi FROM g""")
+def grade_picks(spark, d):
+    return decisions.grade(_edges(spark, d)).select("plays", "hits", r6("hit_rate").alias("hit_rate"), r6("roi").alias("roi"))
+
+
+@query()
+def greedy_parlays(spark, d):
+    teams = player_match(spark, d).select("row_id", "team", F.date_format("match_date", "yyyy-MM-dd").alias("slate"))
+    picks = _edges(spark, d).join(teams, "row_id").withColumn("confidence", F.col("p_pick") - 0.5)
+    return decisions.greedy_parlays(picks.select("slate", "row_id", "player_id", "team", "pick", "confidence"), 3, 3)
+
+
+@query(f"""WITH {EDGE}, r AS (SELECT row_id, p_pick FROM e) SELECT CAST(row_id % 1000 AS BIGINT) AS parlay, count(*) AS legs, round(exp(sum(ln(greatest(p_pick, 1e-9)))) * pow(1.8, count(*)) - 1, 5) AS ev FROM r GROUP BY 1""")
+def parlay_ev(spark, d):
+    e = _edges(spark, d).groupBy((F.col("row_id") % 1000).alias("parlay"))
+    return e.agg(F.count("*").alias("legs"), F.round(F.exp(F.sum(F.ln(F.greatest("p_pick", F.lit(1e-9))))) * F.pow(F.lit(1.8), F.count("*")) - 1, 5).alias("ev"))
+
+
+@query(f"""WITH {PM}, x AS (SELECT *, {ROLE} AS role FROM pm WHERE passes_attempted IS NOT NULL), o AS (SELECT player_id, count(*) AS n, avg(passes_attempted) AS m FROM x GROUP BY 1), r AS (SELECT role, avg(passes_attempted) AS m FROM x GROUP BY 1)
+SELECT x.row_id, CASE WHEN o.n >= 3 THEN 'player' ELSE 'role' END AS pool, round(CASE WHEN o.n >= 3 THEN o.m ELSE r.m END, 6) AS baseline FROM x JOIN o USING (player_id) JOIN r USING (role)""")
+def baseline_pool_cascade(spark, d):
+    x = player_match(spark, d).filter("passes_attempted is not null").withColumn("role", S.role_bucket(F.col("position"))).select("row_id", "player_id", "role", "passes_attempted")
+    own = x.groupBy("player_id").agg(F.count("*").alias("n"), F.avg("passes_attempted").alias("own"))
+    role = x.groupBy("role").agg(F.avg("passes_attempted").alias("of_role"))
+    enough = F.col("n") >= 3
+    return x.join(own, "player_id").join(role, "role").select("row_id", F.when(enough, "player").otherwise("role").alias("pool"), r6(F.when(enough, F.col("own")).otherwise(F.col("of_role"))).alias("baseline"))
+
+
+@query(f"""WITH {HIST}, m AS (SELECT row_id, avg(x) - max(y) AS e FROM hs GROUP BY row_id), s AS (SELECT m.*, pm.provider, {ROLE} AS role FROM m JOIN pm USING (row_id))
+SELECT provider, role, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS bias FROM s GROUP BY ALL""")
+def grading_slices(spark, d):
+    mean = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / F.size("samples")
+    e = _history(spark, d).select("row_id", (mean - F.col("passes_attempted")).alias("e"))
+    s = e.join(player_match(spark, d).select("row_id", "provider", S.role_bucket(F.col("position")).alias("role")), "row_id")
+    return s.groupBy("provider", "role").agg(F.count("*").alias("n"), r6(F.avg(F.abs("e"))).alias("mae"), r6(F.avg("e")).alias("bias"))
+
+
+@query()
+def rate_model_levels(spark, d):
+    return rate.fit(_rated(spark, d))[0]
+
+
+@query()
+def predictive_summary(spark, d):
+    x = _rated(spark, d)
+    levels, fitted = rate.fit(x)
+    return rate.summarize(rate.predict(x, levels, fitted))
+
+
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+def stream_daily_counts(spark, d):
+    from touchline.streaming.daily import daily_counts
+
+    return daily_counts(spark, f"{d}/events.parquet")

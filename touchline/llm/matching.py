@@ -173,6 +173,8 @@ def close_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     x = slices(left.select(F.col("id").alias("a"), block, F.col("v").alias("va")), "va")
     y = slices(right.select(F.col("id").alias("b"), block, F.col("v").alias("vb")), "vb")
     near = F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= RADIUS
+    # narrow rows, much work a byte: a number of partitions that isn't merged again
+    x = x.repartition(4 * left.sparkSession.sparkContext.defaultParallelism, block, "slice", "part")
     return x.join(y, [block, "slice", "part"]).filter(near).select("a", "b").distinct()
 
 
@@ -181,9 +183,12 @@ def canonical_teams(rows: DataFrame) -> DataFrame:
     first = F.count_if(F.col("provider") == "statsbomb")
     named = rows.groupBy("team").agg(F.count("*").alias("n"), first.alias("n1")).withColumn("key", team_udf("team"))
     keys = named.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).withColumn("v", vector_udf("key")).withColumn("block", F.lit(0))
+    keys = cut(keys)
     ids = keys.select(F.col("key").alias("id"), "block", "v")
+    # what both providers write is no misspelling
+    rare = keys.filter("n1 = 0 or n1 = n").select(F.col("key").alias("id"), "block", "v")
     # a misspelling is rare beside the right name, or one provider knows only the one and the other only the other
-    near = close_pairs(ids, ids, "block").filter("a <> b")
+    near = close_pairs(rare, ids, "block").filter("a <> b")
     n = lambda i: keys.select(F.col("key").alias(i), F.col("n").alias(f"n{i}"), F.col("n1").alias(f"first_{i}"))
     near = near.join(n("a"), "a").join(n("b"), "b")
     same_letters = F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", ""))

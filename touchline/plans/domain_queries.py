@@ -455,3 +455,16 @@ def stream_daily_counts(spark, d):
     from touchline.streaming.daily import daily_counts
 
     return daily_counts(spark, f"{d}/events.parquet")
+
+
+@query("""SELECT competition, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT match_id) AS BIGINT) AS n_matches FROM combined_player_match GROUP BY competition""")
+def ingest_report(spark, d):
+    t = read(spark, d, "combined_player_match")
+    return t.groupBy("competition").agg(F.count("*").alias("n_rows"), F.count_distinct("match_id").alias("n_matches"))
+
+
+@query()
+def box_scores(spark, d):
+    from touchline.sources import readers
+
+    return readers.box_scores(read(spark, d, "summary"))

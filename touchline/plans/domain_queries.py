@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from touchline.functions import scalar as S
 from touchline.models import decisions, rate
-from touchline.operators import asof, ratings, resolve, splits
+from touchline.operators import asof, histograms, ratings, resolve, splits
 from touchline.session import read
 
 Q: dict = {}
@@ -349,10 +349,16 @@ def nb_prob_over(spark, d):
     return read(spark, d, "orders").select("o_orderkey", r6(S.nb_tail(mu, F.lit(5.0), F.lit(45))).alias("p_over"))
 
 
+def _played(spark, d):
+    return player_match(spark, d).filter("passes_attempted is not null").select("player_id", "row_id", "match_date", "match_id", "passes_attempted")
+
+
 def _history(spark, d):
-    x = player_match(spark, d).filter("passes_attempted is not null").select("player_id", "row_id", "match_date", "match_id", "passes_attempted")
-    w = W.partitionBy("player_id").orderBy("match_date", "match_id").rowsBetween(-20, -1)
-    return x.withColumn("samples", F.collect_list("passes_attempted").over(w)).filter(F.size("samples") >= 3)
+    """Rows with at least 3 earlier ones, the mean of all of these and their share at or above 30."""
+    w = W.partitionBy("player_id").orderBy("match_date", "match_id").rowsBetween(W.unboundedPreceding, -1)
+    over = (F.col("passes_attempted") >= 30).cast("double")
+    x = _played(spark, d).withColumn("y", over)
+    return x.select("*", F.count("*").over(w).alias("n"), F.avg("passes_attempted").over(w).alias("mean"), F.avg("y").over(w).alias("p")).filter("n >= 3")
 
 
 HIST = f"""{PM}, o AS (SELECT player_id, row_id, passes_attempted AS y, row_number() OVER (PARTITION BY player_id ORDER BY match_date, match_id) AS k FROM pm WHERE passes_attempted IS NOT NULL),
@@ -362,7 +368,8 @@ hs AS (SELECT a.row_id, a.y, b.y AS x FROM o a JOIN o b ON a.player_id = b.playe
 @query(f"""WITH {HIST}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY x) AS i, count(*) OVER (PARTITION BY row_id) AS n FROM hs)
 SELECT row_id, round(avg(abs(x - y)) - sum((2 * i - n - 1) * x) / max(n) / max(n), 6) AS crps FROM r GROUP BY row_id""")
 def crps_empirical(spark, d):
-    return _history(spark, d).select("row_id", r6(S.crps(F.col("samples"), F.col("passes_attempted"))).alias("crps"))
+    h = histograms.running(_played(spark, d), "player_id", ["match_date", "match_id"], "row_id", "passes_attempted")
+    return h.filter("n >= 3").select("row_id", r6("crps").alias("crps"))
 
 
 @query(f"""WITH {HIST}, p AS (SELECT row_id, avg((x >= 30)::INT) AS p, max((y >= 30)::INT) AS y FROM hs GROUP BY row_id), q AS (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS c FROM p)
@@ -373,7 +380,7 @@ def log_loss_brier(spark, d):
 
 
 def _probabilities(spark, d):
-    return _history(spark, d).select("row_id", "player_id", "passes_attempted", S.prob_over(F.col("samples"), F.lit(30.0)).alias("p"), (F.col("passes_attempted") >= 30).cast("double").alias("y"))
+    return _history(spark, d).select("row_id", "player_id", "passes_attempted", "p", "y")
 
 
 @query(f"""WITH {HIST}, p AS (SELECT row_id, avg((x >= 30)::INT) AS p, max((y >= 30)::INT) AS y FROM hs GROUP BY row_id)
@@ -432,8 +439,7 @@ def baseline_pool_cascade(spark, d):
 @query(f"""WITH {HIST}, m AS (SELECT row_id, avg(x) - max(y) AS e FROM hs GROUP BY row_id), s AS (SELECT m.*, pm.provider, {ROLE} AS role FROM m JOIN pm USING (row_id))
 SELECT provider, role, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS bias FROM s GROUP BY ALL""")
 def grading_slices(spark, d):
-    mean = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / F.size("samples")
-    e = _history(spark, d).select("row_id", (mean - F.col("passes_attempted")).alias("e"))
+    e = _history(spark, d).select("row_id", (F.col("mean") - F.col("passes_attempted")).alias("e"))
     s = e.join(player_match(spark, d).select("row_id", "provider", S.role_bucket(F.col("position")).alias("role")), "row_id")
     return s.groupBy("provider", "role").agg(F.count("*").alias("n"), r6(F.avg(F.abs("e"))).alias("mae"), r6(F.avg("e")).alias("bias"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from touchline.functions import scalar as S
 from touchline.models import decisions, rate
 from touchline.operators import asof, histograms, ratings, resolve, splits
-from touchline.session import read
+from touchline.session import cut, read
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -106,8 +106,8 @@ def team_asof_context(spark, d):
     return t.select("match_id", "team", "opponent", r6("p").alias("team_poss_asof"), r6("a").alias("opp_allowed_asof"))
 
 
-def _style(spark, d):
-    t = ratings.team_match(player_match(spark, d)).groupBy("team").agg(F.avg("possession_share").alias("poss"), F.avg("team_passes").alias("vol"), F.avg("opp_passes_allowed").alias("allow")).dropna()
+def _style(spark, d, pm=None):
+    t = ratings.team_match(pm or player_match(spark, d)).groupBy("team").agg(F.avg("possession_share").alias("poss"), F.avg("team_passes").alias("vol"), F.avg("opp_passes_allowed").alias("allow")).dropna()
     stats = t.agg(*[f(c).alias(f"{n}_{c}") for c in ("poss", "vol", "allow") for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     return t.withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")
 
@@ -115,17 +115,17 @@ def _style(spark, d):
 @query(f"""WITH {TM}, p AS (SELECT team, avg(possession_share) AS poss, avg(team_passes) AS vol, avg(opp_passes_allowed) AS allow FROM tm GROUP BY team),
 q AS (SELECT * FROM p WHERE poss IS NOT NULL AND vol IS NOT NULL AND allow IS NOT NULL)
 SELECT team, round((poss - avg(poss) OVER ()) / stddev_samp(poss) OVER (), 6) AS z_poss, round((vol - avg(vol) OVER ()) / stddev_samp(vol) OVER (), 6) AS z_vol, round((allow - avg(allow) OVER ()) / stddev_samp(allow) OVER (), 6) AS z_allow FROM q""")
-def style_profile(spark, d):
-    return _style(spark, d).select("team", *[r6(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}"))).alias(f"z_{c}") for c in ("poss", "vol", "allow")])
+def style_profile(spark, d, pm=None):
+    return _style(spark, d, pm).select("team", *[r6(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}"))).alias(f"z_{c}") for c in ("poss", "vol", "allow")])
 
 
 @query()
-def style_clusters(spark, d):
+def style_clusters(spark, d, pm=None):
     """Clusters of team styles, numbered by their centre's possession; one cluster if there are fewer teams than k."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    z = style_profile(spark, d).fillna(0.0)
+    z = style_profile(spark, d, pm).fillna(0.0)
     data = VectorAssembler(inputCols=["z_poss", "z_vol", "z_allow"], outputCol="features").transform(z).persist()
     k = 4
     if data.limit(k).count() < k:
@@ -170,8 +170,8 @@ def robust_scale(spark, d):
     return pm.agg(*[x for n, c in cols for x in (r6(F.percentile(c, 0.5)).alias(f"med_{n}"), r6(F.avg(c)).alias(f"mean_{n}"), r6(F.stddev_samp(c)).alias(f"std_{n}"))])
 
 
-def _rated(spark, d):
-    pm = player_match(spark, d).filter("minutes > 0 and passes_attempted is not null")
+def _rated(spark, d, pm=None):
+    pm = (pm or player_match(spark, d)).filter("minutes > 0 and passes_attempted is not null")
     return pm.withColumn("per90", S.per90(F.col("passes_attempted"), F.col("minutes"))).withColumn("role", S.role_bucket(F.col("position")))
 
 
@@ -181,8 +181,8 @@ k AS (SELECT player_id, sum(s) AS s, sum(n) AS n FROM (SELECT *, row_number() OV
 ro AS (SELECT player_id, role FROM (SELECT player_id, role, row_number() OVER (PARTITION BY player_id ORDER BY count(*) DESC, role) AS rk FROM x GROUP BY player_id, role) WHERE rk = 1),
 rm AS (SELECT role, avg(per90) AS mean FROM x GROUP BY role)
 SELECT k.player_id, CAST(k.n AS BIGINT) AS n, round(k.n / (k.n + 2.0) * ln(greatest(k.s / k.n, 1) / greatest(rm.mean, 1)), 6) AS center FROM k JOIN ro USING (player_id) JOIN rm USING (role)""")
-def prior_center(spark, d):
-    x = _rated(spark, d)
+def prior_center(spark, d, pm=None):
+    x = _rated(spark, d, pm)
     groups = x.groupBy("player_id", "competition").agg(F.max("match_date").alias("m"), F.sum("per90").alias("s"), F.count("*").alias("n"))
     last = groups.withColumn("rk", F.row_number().over(W.partitionBy("player_id").orderBy(F.desc("m"), F.desc("competition")))).filter("rk <= 2").groupBy("player_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     roles = x.groupBy("player_id", "role").agg(F.count("*").alias("c")).groupBy("player_id").agg(F.min_by("role", F.struct(-F.col("c"), "role")).alias("role"))
@@ -223,10 +223,10 @@ def elo_timeline(spark, d):
 
 
 @query()
-def elo_asof_join(spark, d):
+def elo_asof_join(spark, d, pm=None):
     """Ratings of both sides strictly before each match, 1500 where there is none."""
     r = ratings.elo(_results(spark, d)).groupBy("team", "at").agg(F.max("rating").alias("rating"))
-    sides = ratings.team_match(player_match(spark, d)).select("match_id", "team", "opponent", F.col("match_date").alias("at"))
+    sides = ratings.team_match(pm or player_match(spark, d)).select("match_id", "team", "opponent", F.col("match_date").alias("at"))
     one = asof.asof_last(sides, r, "team", "at", "rating", "team_elo")
     two = asof.asof_last(one, r.withColumnRenamed("team", "opponent"), "opponent", "at", "rating", "opp_elo")
     return two.select("match_id", "team", *[r6(F.coalesce(c, F.lit(1500.0))).alias(c) for c in ("team_elo", "opp_elo")])
@@ -235,10 +235,10 @@ def elo_asof_join(spark, d):
 @query(f"""WITH {TM}, {ESPN}, h AS (SELECT team, ingested_at AS seen, avg(possession) OVER (PARTITION BY team ORDER BY ingested_at, row_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS p, row_id FROM es WHERE possession IS NOT NULL AND team IS NOT NULL),
 h1 AS (SELECT team, seen, arg_max(p, row_id) AS p FROM h GROUP BY team, seen)
 SELECT tm.match_id, tm.team, tm.opponent, round(h1.p, 6) AS poss10 FROM tm ASOF LEFT JOIN h1 ON tm.team = h1.team AND tm.match_date > h1.seen""")
-def rolling10_asof(spark, d):
+def rolling10_asof(spark, d, pm=None):
     e = _espn(spark, d).dropna(subset=["possession", "team"])
     h = asof.rolling_mean(e, ["team"], ["ingested_at", "row_id"], "possession", 10, "p").groupBy("team", F.col("ingested_at").alias("at")).agg(F.max_by("p", "row_id").alias("p"))
-    t = ratings.team_match(player_match(spark, d)).select("match_id", "team", "opponent", F.col("match_date").alias("at"))
+    t = ratings.team_match(pm or player_match(spark, d)).select("match_id", "team", "opponent", F.col("match_date").alias("at"))
     return asof.asof_last(t, h, "team", "at", "p", "x").select("match_id", "team", "opponent", r6("x").alias("poss10"))
 
 
@@ -444,14 +444,38 @@ def grading_slices(spark, d):
     return s.groupBy("provider", "role").agg(F.count("*").alias("n"), r6(F.avg(F.abs("e"))).alias("mae"), r6(F.avg("e")).alias("bias"))
 
 
+def _modelled(spark, d):
+    """Rated rows with all that the rate model takes: opponent's style, as-of covariates of both sides, flags, prior centre."""
+    keep = ["row_id", "match_id", "match_date", "competition", "provider", "team", "opponent", "player_id", "position", "minutes", "passes_attempted", "is_friendly", "is_qualifier"]
+    pm = player_match(spark, d).select(*keep).persist()
+    x = pm.withColumn("per90", S.per90(F.col("passes_attempted"), F.col("minutes"))).withColumn("role", S.role_bucket(F.col("position")))
+    t, o = ratings.team_match(pm), ["match_date", "match_id", "opponent"]
+    t = asof.expanding_mean(asof.expanding_mean(t, ["team"], o, "possession_share", "p"), ["team"], o, "opp_passes_allowed", "a")
+    # one row a side of a match
+    one = lambda df, *cs: df.groupBy("match_id", "team").agg(*[F.max(c).alias(c) for c in cs])
+    sides = one(t, "p", "a").join(one(elo_asof_join(spark, d, pm), "team_elo", "opp_elo"), ["match_id", "team"], "left").join(one(rolling10_asof(spark, d, pm), "poss10"), ["match_id", "team"], "left")
+    sides = cut(sides)
+    own = sides.select("match_id", "team", F.col("p").alias("team_poss_asof"), "team_elo", "opp_elo", F.col("poss10").alias("team_poss_espn"))
+    other = sides.select("match_id", F.col("team").alias("opponent"), F.col("a").alias("opp_allowed_asof"), F.col("poss10").alias("opp_poss_espn"))
+    style = style_clusters(spark, d, pm).select(F.col("team").alias("opponent"), F.col("style").alias("opp_style"))
+    x = x.join(own, ["match_id", "team"], "left").join(other, ["match_id", "opponent"], "left").join(style, "opponent", "left")
+    x = x.withColumn("opp_style", F.coalesce("opp_style", F.lit(-1)))
+    x = asof.decay_mean(x, ["player_id", "opp_style"], ["match_date", "match_id"], F.col("per90"), 4.0, "style_per90")
+    x = x.filter("minutes > 0 and passes_attempted is not null").join(prior_center(spark, d, pm).select("player_id", F.col("center").alias("prior")), "player_id", "left")
+    flags = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("is_friendly", "is_qualifier")]
+    rows = rate.by_player(x.select("row_id", *rate.GROUPS, "player_id", "opp_style", "prior", "minutes", "passes_attempted", *[c for c in rate.FEATURES if not c.startswith("is_")], *flags))
+    pm.unpersist()
+    return rows
+
+
 @query()
 def rate_model_levels(spark, d):
-    return rate.fit(_rated(spark, d))[0]
+    return rate.fit(_modelled(spark, d))[0]
 
 
 @query()
 def predictive_summary(spark, d):
-    x = _rated(spark, d)
+    x = _modelled(spark, d)
     levels, fitted = rate.fit(x)
     return rate.summarize(rate.predict(x, levels, fitted))
 

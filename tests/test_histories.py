@@ -52,3 +52,21 @@ def test_running_histogram_in_small_blocks():
     for k in (3, 40, 299):
         t = np.quantile(x[:k], histograms.QUANTILES)
         assert np.allclose(a[2][k], [(x[:k] > v).mean() for v in t]) and np.allclose(a[3][k], x[k] > t)
+
+
+def test_calibration_takes_nine_pairs_a_row(spark, played, monkeypatch):
+    from touchline.models import decisions
+    from touchline.plans import domain_queries as Q
+
+    monkeypatch.setattr(Q, "player_match", lambda *_: frame(spark, played))
+    got = sorted(map(tuple, Q.queries()["isotonic_fit"](spark, "").collect()))
+    pairs = [(float((x > t).mean()), float(y > t)) for _, x, y in wanted(played) for t in np.quantile(x, histograms.QUANTILES)]
+    blocks = []  # pool adjacent violators: sum, number, first and last p
+    for p in sorted({p for p, _ in pairs}):
+        ys = [y for q, y in pairs if q == p]
+        blocks.append([sum(ys), len(ys), p, p])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            s, n, _, last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], last]
+    want = sorted({(p, s / n) for s, n, a, b in blocks for p in (a, b)})
+    assert len(pairs) == 9 * len(list(wanted(played))) and np.allclose(got, want)

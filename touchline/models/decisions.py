@@ -50,9 +50,10 @@ def greedy_parlays(picks: DataFrame, n: int, legs: int) -> DataFrame:
     return picks.groupBy("slate").applyInPandas(build, "slate string, parlay int, leg int, row_id long")
 
 
-def isotonic(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(boundary, prediction) of the calibration of ``y`` on ``x``."""
-    data = VectorAssembler(inputCols=[x], outputCol="features").transform(df.select(F.col(x).cast("double"), F.col(y).cast("double").alias("label")).dropna())
-    m = IsotonicRegression().fit(data)
+def isotonic(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
+    """(boundary, prediction) of the calibration of ``y`` on ``x``; rows count ``weight`` times."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    data = VectorAssembler(inputCols=[x], outputCol="features").transform(df.select(F.col(x).cast("double"), F.col(y).cast("double").alias("label"), w.alias("w")).dropna())
+    m = IsotonicRegression(weightCol="w").fit(data)
     rows = [(float(a), float(b)) for a, b in zip(m.boundaries, m.predictions, strict=True)]
     return df.sparkSession.createDataFrame(rows, "boundary double, prediction double")

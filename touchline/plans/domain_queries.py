@@ -392,7 +392,11 @@ def reliability_bins(spark, d):
 
 @query()
 def isotonic_fit(spark, d):
-    return decisions.isotonic(_probabilities(spark, d), "p", "y")
+    """Calibration over nine pairs a row: the share of earlier values above each of their quantiles, and whether the row's own is."""
+    h = histograms.running(_played(spark, d), "player_id", ["match_date", "match_id"], "row_id", "passes_attempted", histograms.QUANTILES)
+    pairs = h.filter("n >= 3").select(F.explode(F.arrays_zip("p", "y")).alias("a")).select("a.p", "a.y")
+    # equal p are pooled by the fit: their mean with their number as weight is the same fit
+    return decisions.isotonic(pairs.groupBy("p").agg(F.avg("y").alias("y"), F.count("*").alias("n")), "p", "y", "n")
 
 
 EDGE = f"""{HIST}, p AS (SELECT row_id, avg((x >= 30)::INT) AS p_over, max(y) AS actual FROM hs GROUP BY row_id),

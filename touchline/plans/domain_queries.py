@@ -130,7 +130,7 @@ def style_clusters(spark, d, pm=None):
     k = 4
     if data.limit(k).count() < k:
         return z.select("team", F.lit(0).alias("style"))
-    best = min((KMeans(k=k, seed=s).fit(data) for s in range(3)), key=lambda m: m.summary.trainingCost)
+    best = min((KMeans(k=k, seed=s).fit(data) for s in range(10)), key=lambda m: m.summary.trainingCost)
     order = sorted(range(k), key=lambda i: tuple(best.clusterCenters()[i]))
     rank = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])
     return best.transform(data).select("team", rank[F.col("prediction")].alias("style"))

@@ -1,267 +1,383 @@
 """Text garbled by a wrong character encoding: found and restored with mappings learned from clean near-twins.
 
-A garbled word and its clean near-twin are equal once all non-ASCII characters are stripped. Twins are looked up in the
-corpus's own vocabulary (words with non-ASCII characters and the number of different texts that hold them), aligned on their
-ASCII characters, and explained by a transformation: decoded by one encoding though written in another. Transformations
-that explain enough different twins are *learned* and then applied to the words without a twin.
+A garbled record and its clean near-twin are equal once their non-ASCII characters are stripped. Two kinds of records are
+joined on what is left: words with ASCII letters or digits on these and the places of the gaps; runs of words without any on
+the lengths of the words (a garbled one has a character a byte). Each record meets the commonest one of its key only, so a key
+with many records emits no pairs among them. The gaps are aligned, and each pair of aligned gaps says which transformations
+("read as ... though written in ...") could have made the one from the other; those that explain all gaps of enough records,
+and hardly ever the other way round, are *learned*. Codecs are looked at only here, as names of what the alignment shows.
 
-1. vocabulary: one pass over the different texts, map-side combined counts;
-2. proposals: each vocabulary word under each transformation, kept if the result can occur in the vocabulary (a Bloom filter
-   of fixed size) or is strict UTF-8 (which clean text practically never is);
-3. twins: an equi-join of proposals and vocabulary; support of each transformation and of each aligned mapping;
-4. verdicts a word, joined back to the texts that hold it.
+What was learned is then applied to every word of the corpus:
+
+* byte sequences that are strict UTF-8 under a learned reading are restored, as often as that goes (text garbled more than
+  once), if no other letter beyond ASCII is in the word and the result is made of characters that words not garbled use, or
+  else if it is a word of the corpus;
+* readings of single bytes as other single bytes, and of two bytes as one character, are ambiguous: their result must be a
+  word of the corpus, and for single bytes one that many more texts hold.
 
 Defined results: NULL, empty and pure ASCII texts are clean; replacement characters and control characters of the C1 block
-count as garbled but are not restorable; exact copies share the verdict of their text.
+count as garbled but are not restorable; exact copies share the verdict of their text and count as one text; an ambiguous word
+of one or two characters is restored beside longer ones of the same transformation, but by itself makes no document garbled.
 """
 
 from __future__ import annotations
 
+import encodings.aliases
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-
-#: Encodings text is wrongly decoded by, and encodings it may really be in.
-DECODED_BY = (
-    "latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-2", "iso8859-15", "iso8859-5", "iso8859-7",
-    "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r",
-)
-WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-5", "iso8859-7", "koi8_r", "cp866", "mac_roman", "cp437", "cp850", "cp852")
-#: A word: ASCII letters and digits and everything beyond ASCII but wide spaces; NBSP stays, since it is half of a garbled à.
-WORD = r"[A-Za-z0-9\x{80}-\x{1FFF}\x{200B}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{2FFF}\x{3001}-\x{10FFFF}]+"
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from touchline.session import cut
+
+_WIDE = "\\x{80}-\\x{1FFF}\\x{200B}-\\x{2027}\\x{202A}-\\x{202E}\\x{2030}-\\x{2FFF}\\x{3001}-\\x{10FFFF}"
+#: A word with something beyond ASCII; wide spaces part words, NBSP doesn't, since it is half of a garbled à.
+WORD = f"(?<![A-Za-z0-9])[A-Za-z0-9]*+[{_WIDE}][A-Za-z0-9{_WIDE}]*+"
+#: Words without ASCII letters or digits, and the single spaces between them.
+SEQUENCE = f"(?<![A-Za-z0-9{_WIDE}])[{_WIDE}]++(?: [{_WIDE}]++)*+(?![A-Za-z0-9])"
 _WORD = re.compile("[A-Za-z0-9\x80-῿​-‧‪-‮‰-⿿、-\U0010ffff]+")
+_GAP = re.compile(r"[^\x00-\x7f]+")
 NON_ASCII = r"[^\x{00}-\x{7F}]"
 LOST = r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]"
-_LOST = re.compile("[�\x80-\x84\x86-\x9f]")
-BLOOM_BITS = 1 << 23
-#: Parameters: different twins that make a transformation learned; how much more texts must hold the clean twin.
-SUPPORT, UTF8_SUPPORT, RATIO, SHORTEST, DEPTH = 3, 2, 8, 3, 3
+#: Parameters: records that make a transformation learned, by kind; how many more texts must hold the clean twin of an ambiguous
+#: word; how many records may speak for the opposite direction to each that speaks for it; texts that make a character usual.
+UTF8_SUPPORT, SUPPORT, RATIO, AGAINST, USUAL = 2, 3, 8, 0.1, 3
+_UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[str, dict[str, int]], dict[str, dict[int, str]]]:
-    to_byte: dict[str, dict[str, int]] = {}
-    for w in DECODED_BY:
-        t = {}
-        for b in range(128, 256):
-            try:
-                t[bytes([b]).decode(w)] = b
-            except UnicodeDecodeError:
-                t.setdefault(chr(b), b)  # bytes without a character came through as controls
-        to_byte[w] = t
-    to_char: dict[str, dict[int, str]] = {}
-    for r in WRITTEN_IN[1:]:
-        to_char[r] = {}
-        for b in range(128, 256):
+def codecs_by_width() -> tuple[dict[str, dict[int, str]], tuple[str, ...]]:
+    """(single-byte codecs with the characters of their upper half, multi-byte codecs): all the library has that keep ASCII."""
+    ascii_bytes, single, multi, seen = bytes(range(32, 127)), {}, [], set()
+    for name in sorted({v for v in encodings.aliases.aliases.values()} | {"iso8859_15", "koi8_u"}):
+        try:
+            if name.startswith(("utf", "raw", "unicode")) or ascii_bytes.decode(name) != ascii_bytes.decode("ascii"):
+                continue
+            upper = {}
+            for b in range(128, 256):
+                try:
+                    upper[b] = bytes([b]).decode(name)
+                except UnicodeDecodeError:
+                    pass
+            if len(upper) > 80 and all(len(c) == 1 for c in upper.values()):
+                if tuple(upper.items()) not in seen:
+                    seen.add(tuple(upper.items()))
+                    single[name] = upper
+            elif b"\xc3\xa9".decode(name, "replace") != b"\xc3\xa9".decode("ascii", "replace"):
+                multi.append(name)
+        except (LookupError, UnicodeError, ValueError):
+            continue
+    return single, tuple(multi)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[dict, dict, dict]:
+    """(codec -> character -> byte as read, (character, byte) -> codecs that read it so, character -> {byte: codecs that write it so})."""
+    read: dict[str, dict[str, int]] = {}
+    reads, writes = defaultdict(set), defaultdict(lambda: defaultdict(set))
+    for name, upper in codecs_by_width()[0].items():
+        # bytes without a character come through as controls
+        read[name] = {chr(b): b for b in range(128, 256) if b not in upper} | {c: b for b, c in upper.items()}
+        for c, b in read[name].items():
+            reads[c, b].add(name)
+        for b, c in upper.items():
+            writes[c][b].add(name)
+    return read, {k: frozenset(v) for k, v in reads.items()}, writes
+
+
+@lru_cache(maxsize=200_000)
+def _swaps(garbled: str, clean: str) -> frozenset:
+    """Single-byte transformations that turn one character into another."""
+    _, reads, writes = _tables()
+    return frozenset(f"{w}>{r}" for b, rs in writes.get(clean, {}).items() for w in reads.get((garbled, b), ()) for r in rs if w != r)
+
+
+def explanations(garbled: str, clean: str) -> frozenset:
+    """Transformations that turn the run ``clean`` into the run ``garbled``, by character alignment."""
+    raw, found = clean.encode("utf-8", "surrogatepass"), set()
+    if len(garbled) == len(raw):
+        reads, some = _tables()[1], None
+        for c, b in zip(garbled, raw, strict=True):
+            one = reads.get((c, b), frozenset())
+            some = one if some is None else some & one
+            if not some:
+                break
+        found |= {f"{w}>utf-8" for w in some or ()}
+    if len(clean) <= len(garbled) <= len(raw):
+        found |= _multi(garbled, raw)
+    if len(garbled) == len(clean):
+        some = None
+        for g, c in zip(garbled, clean, strict=True):
+            if g != c:
+                one = _swaps(g, c)
+                some = one if some is None else some & one
+                if not some:
+                    break
+            elif some is None and len(garbled) == 1:
+                return frozenset(found)
+        found |= some or set()
+    return frozenset(found)
+
+
+@lru_cache(maxsize=50_000)
+def _multi(garbled: str, raw: bytes) -> frozenset:
+    out = set()
+    for w in codecs_by_width()[1]:
+        try:
+            if raw.decode(w) == garbled:
+                out.add(f"{w}>utf-8")
+        except UnicodeDecodeError:
+            pass
+    return frozenset(out)
+
+
+def align(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """Gaps (non-ASCII runs) of twins, paired by their places between the same ASCII characters."""
+    a, b = _GAP.findall(garbled), _GAP.findall(clean)
+    return list(zip(a, b, strict=True)) if _GAP.sub("*", garbled) == _GAP.sub("*", clean) and len(a) == len(b) else []
+
+
+def decode_sequences(word: str, w: str) -> tuple[str, bool] | None:
+    """(the word with its strict UTF-8 sequences under the reading ``w`` decoded and all else kept, whether all its letters beyond
+    ASCII are in such sequences); None without any."""
+    if w in _tables()[0]:
+        out, rest, last = [], [], 0
+        for m in _UTF8.finditer(word.translate(_translation(w))):
             try:
-                to_char[r][b] = bytes([b]).decode(r)
+                c = m.group().encode("latin-1").decode("utf-8")
             except UnicodeDecodeError:
-                pass
-    return to_byte, to_char
+                continue
+            rest.append(word[last : m.start()])
+            out += [rest[-1], c]
+            last = m.end()
+        rest.append(word[last:])
+        return ("".join([*out, rest[-1]]), not any(c.isalpha() and ord(c) > 127 for part in rest for c in part)) if out else None
 
+    def gap(m: re.Match) -> str:
+        try:
+            return m.group().encode(w).decode("utf-8")
+        except UnicodeError:
+            return m.group()
+
+    s = _GAP.sub(gap, word)
+    return (s, True) if s != word else None
 
-@lru_cache(maxsize=1)
-def _translations() -> dict[str, dict[int, str]]:
-    """Single-byte transformations ``w>r`` as translation tables; identities are left out."""
-    to_byte, to_char = _tables()
-    out = {}
-    for w in DECODED_BY:
-        for r in WRITTEN_IN[1:]:
-            if w != r:
-                table = {ord(c): to_char[r][b] for c, b in to_byte[w].items() if b in to_char[r]}
-                if any(chr(k) != v for k, v in table.items()):
-                    out[f"{w}>{r}"] = table
-    return out
-
-
-def as_utf8(word: str, w: str) -> str | None:
-    """``word`` with its bytes under ``w`` read as UTF-8, or None if they aren't."""
-    table, out = _tables()[0][w], bytearray()
-    for ch in word:
-        o = ord(ch)
-        if o < 128:
-            out.append(o)
-        elif (b := table.get(ch)) is None:
-            return None
-        else:
-            out.append(b)
-    try:
-        s = out.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return s if s != word else None
+
+@lru_cache(maxsize=200)
+def _translation(w: str) -> dict[int, int]:
+    """Characters beyond ASCII to the code points of their bytes under a reading; those it doesn't have to none of a byte."""
+    have = {ord(c): b for c, b in _tables()[0][w].items()}
+    return {o: 0x100 for o in range(128, 256) if o not in have} | have
+
+
+@lru_cache(maxsize=4096)
+def _swap_table(name: str) -> dict[int, str]:
+    w, _, r = name.partition(">")
+    upper = codecs_by_width()[0][r]
+    return {ord(c): upper[b] for c, b in _tables()[0][w].items() if b in upper}
 
 
 def transform(word: str, name: str) -> str | None:
-    """The word under a transformation ``w>r``; UTF-8 ones are repeated while they apply (text garbled more than once)."""
+    """The word under a transformation ``read>written``, or None if it has no such sequence or character."""
     w, _, r = name.partition(">")
     if r == "utf-8":
-        s = as_utf8(word, w)
-        for _ in range(DEPTH - 1):
-            deeper = None if s is None or s.isascii() else next((d for v in DECODED_BY[:5] if (d := as_utf8(s, v)) is not None), None)
-            if deeper is None:
-                break
-            s = deeper
-        return s
-    table = _translations().get(name)
-    if table is None or any(ord(c) > 127 and ord(c) not in table for c in word):
+        found = decode_sequences(word, w)
+        return found[0] if found else None
+    table = _swap_table(name)
+    if any(ord(c) > 127 and ord(c) not in table for c in word):
         return None
     s = word.translate(table)
     return s if s != word else None
 
 
-def align(garbled: str, clean: str) -> list[tuple[str, str]]:
-    """Non-ASCII runs of twins, paired between their common ASCII characters."""
-    split = lambda s: re.findall(r"[\x00-\x7f]|[^\x00-\x7f]+", s)
-    a, b, out, i, j = split(garbled), split(clean), [], 0, 0
-    while i < len(a) or j < len(b):
-        x, y = a[i] if i < len(a) else "", b[j] if j < len(b) else ""
-        if x.isascii() and x == y:
-            i, j = i + 1, j + 1
-        elif x.isascii() and y.isascii():
-            return []
-        else:
-            out.append((x if not x.isascii() else "", y if not y.isascii() else ""))
-            i, j = i + (not x.isascii()), j + (not y.isascii())
-    return out
-
-
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(text_key, text): one row a different text with non-ASCII characters; only keys are combined, never texts gathered."""
-    held = docs.filter(F.col("text").rlike(NON_ASCII)).select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
-    first = held.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    return held.select("doc_id", "text").join(first, "doc_id").select("text_key", "text")
-
+def is_utf8(t: Column) -> Column:
+    return t.endswith(">utf-8")
 
-def words_of(texts: DataFrame) -> DataFrame:
-    """(text_key, word): different words with non-ASCII characters of each text."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda x: x.rlike(NON_ASCII)))
-    return texts.select("text_key", F.explode(words).alias("word"))
 
+def _is_multi(t: Column) -> Column:
+    return t.isin([f"{w}>utf-8" for w in codecs_by_width()[1]])
 
-def vocabulary(words: DataFrame) -> DataFrame:
-    return words.groupBy("word").agg(F.count("*").alias("texts"))
 
+def text_key(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
 
-def _bloom(vocab: DataFrame) -> np.ndarray:
-    """Bloom filter of the words that several texts hold: at most BLOOM_BITS / 64 rows come to the driver (1 MB)."""
-    bits = vocab.filter("texts > 1").selectExpr(f"pmod(xxhash64(word), {BLOOM_BITS}) AS b")
-    rows = bits.groupBy(F.expr("b >> 6").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 AS int)))").alias("v"))
-    out = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
-    got = rows.toPandas()
-    out[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).view(np.uint64)
-    return out
 
+def words_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, words): the different words beyond ASCII of each document that has any. Texts themselves don't move."""
+    held = docs.filter(F.col("text").rlike(NON_ASCII))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    return held.select("doc_id", text_key(F.col("text")).alias("text_key"), words.alias("words"))
 
-def _alphabet(vocab: DataFrame) -> frozenset:
-    """Characters that the corpus uses in at least a few texts; bounded by Unicode."""
-    chars = vocab.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), "texts").filter(F.col("c").rlike(NON_ASCII))
-    rows = chars.groupBy("c").agg(F.sum("texts").alias("n"))
-    top = rows.agg(F.max("n")).first()[0] or 0
-    rows = rows.filter(F.col("n") >= max(3, top // 5000)).collect()
-    return frozenset(r["c"] for r in rows if not _LOST.search(r["c"]))
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(word, texts): how many different texts hold a word."""
+    key = docs.filter(F.col("text").rlike(NON_ASCII)).select("doc_id", text_key(F.col("text")).alias("text_key"))
+    first = key.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    words = words_of(docs).join(first, "doc_id", "left_semi")
+    return words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
 
-def proposals(vocab: DataFrame) -> DataFrame:
-    """(word, texts, transformation, restored): what each word may have been."""
-    import xxhash
 
-    bloom, alphabet = _bloom(vocab), _alphabet(vocab)
-    schema = "word string, texts long, transformation string, restored string"
+def records(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(key, as_clean, as_garbled, item, texts): near-twin candidates under what is left of them without non-ASCII characters."""
+    skeleton = F.regexp_replace("word", r"[^\x{00}-\x{7F}]+", "*")
+    anchored = vocab.filter(F.col("word").rlike("[A-Za-z0-9]")).select(skeleton.alias("key"), F.lit(True).alias("as_clean"), F.lit(True).alias("as_garbled"), F.col("word").alias("item"), "texts")
+    held = docs.filter(F.col("text").rlike(NON_ASCII))
+    runs = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(SEQUENCE), F.lit(0)), lambda x: F.length(x) >= 4))
+    runs = held.select(F.explode(runs).alias("item")).groupBy("item").agg(F.count("*").alias("texts"))
+    lengths = lambda size: F.array_join(F.transform(F.split("item", " "), lambda x: size(x).cast("string")), " ")
+    chars, octets = lengths(F.length), lengths(F.octet_length)
+    kind = F.array(
+        F.struct(F.concat(F.lit("c "), chars).alias("key"), F.lit(True).alias("as_clean"), F.lit(True).alias("as_garbled")),
+        F.struct(F.concat(F.lit("b "), octets).alias("key"), F.lit(True).alias("as_clean"), F.lit(False).alias("as_garbled")),
+        F.struct(F.concat(F.lit("b "), chars).alias("key"), F.lit(False).alias("as_clean"), F.lit(True).alias("as_garbled")),
+    )
+    runs = runs.select("item", "texts", F.explode(kind).alias("k")).select("k.key", "k.as_clean", "k.as_garbled", "item", "texts")
+    return anchored.unionByName(runs)
+
+
+def twins(record: DataFrame) -> DataFrame:
+    """(garbled, clean, texts, twin_texts): each record beside the commonest one of its key; one row a record."""
+    best = F.max_by(F.struct("item", "texts"), F.struct("texts", "item"))
+    hubs = record.filter("as_clean").groupBy("key").agg(best.alias("h")).select("key", F.col("h.item").alias("clean"), F.col("h.texts").alias("twin_texts"))
+    members = record.filter("as_garbled").select("key", F.col("item").alias("garbled"), "texts")
+    return members.join(hubs, "key").filter("garbled <> clean").select("garbled", "clean", "texts", "twin_texts")
+
+
+_GAPS = T.ArrayType(T.StructType([T.StructField("garbled", T.StringType()), T.StructField("clean", T.StringType())]))
+
+
+@F.pandas_udf(_GAPS)
+def gaps_udf(garbled: pd.Series, clean: pd.Series) -> pd.Series:
+    """The different pairs of aligned gaps in which two twins differ."""
+    pairs = (sorted({(x, y) for x, y in align(a, b) if x != y}) for a, b in zip(garbled, clean, strict=True))
+    return pd.Series([[{"garbled": x, "clean": y} for x, y in p] for p in pairs], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def explain_udf(gaps: pd.Series) -> pd.Series:
+    out = []
+    for pairs in gaps:
+        sets = [explanations(p["garbled"], p["clean"]) for p in pairs]
+        out.append(sorted(frozenset.intersection(*sets)) if sets else [])
+    return pd.Series(out, dtype=object)
+
+
+def evidence(twin: DataFrame) -> DataFrame:
+    """(gaps, n, n_clear, ways): aligned gaps, the twins that show them with the rarer one garbled, those that do so by
+    ``RATIO``, and the transformations that explain them. Gaps that are as usual the other way round, as spelling variants are, don't count."""
+    seen = twin.filter("twin_texts > texts").select(gaps_udf("garbled", "clean").alias("gaps"), (F.col("twin_texts") >= RATIO * F.col("texts")).alias("clear"))
+    counts = cut(seen.filter(F.size("gaps") > 0).groupBy("gaps").agg(F.count("*").alias("n"), F.count_if("clear").alias("n_clear")))
+    back = F.array_sort(F.transform("gaps", lambda g: F.struct(g["clean"].alias("garbled"), g["garbled"].alias("clean"))))
+    back = counts.select(back.alias("gaps"), F.col("n").alias("against"))
+    pure = counts.join(back, "gaps", "left").filter(F.coalesce("against", F.lit(0)) <= AGAINST * F.col("n"))
+    return pure.select("gaps", "n", "n_clear", explain_udf("gaps").alias("ways")).filter(F.size("ways") > 0)
+
+
+def learned(found: DataFrame) -> dict[str, int]:
+    """Transformation -> support. The one that explains most is taken first and what it explains is taken away, so a relative
+    of it is learned only for what it alone explains; one gap alone teaches no ambiguous transformation.
+
+    ``found`` comes to the driver by its different sets of transformations, not by records.
+    """
+    rows = [r.asDict() for r in found.groupBy("ways").agg(F.sum("n").alias("n"), F.sum("n_clear").alias("n_clear"), F.count_if(F.col("n_clear") > 0).alias("gaps")).collect()]
+    out: dict[str, int] = {}
+    while True:
+        score: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for r in rows:
+            for t in r["ways"]:
+                utf8 = t.endswith(">utf-8")
+                score[t][0] += r["n"] if utf8 else r["n_clear"]
+                score[t][1] += r["gaps"]
+        fit = {t: n for t, (n, gaps) in score.items() if (n >= UTF8_SUPPORT if t.endswith(">utf-8") else n >= SUPPORT and gaps >= 2)}
+        if not fit:
+            return out
+        best = min(fit, key=lambda t: (-fit[t], not t.endswith(">utf-8"), len(codecs_by_width()[0].get(t.partition(">")[2], ())), t))
+        out[best] = fit[best]
+        rows = [r for r in rows if best not in r["ways"]]
+
+
+def mappings(found: DataFrame, known: dict[str, int]) -> DataFrame:
+    """(transformation, garbled, clean, support): the aligned gaps behind the learned transformations."""
+    each = found.select(F.explode("ways").alias("transformation"), "gaps", "n").filter(F.col("transformation").isin(sorted(known)))
+    each = each.select("transformation", F.explode("gaps").alias("m"), "n")
+    return each.groupBy("transformation", "m.garbled", "m.clean").agg(F.sum("n").alias("support"))
+
+
+def apply_learned(vocab: DataFrame, support: dict[str, int]) -> DataFrame:
+    """(word, texts, transformation, support, restored, whole): each word under the learned transformations that fit; ``restored`` is
+    NULL for none, ``whole`` says that no letter beyond ASCII is left as it was."""
+    ranked = sorted(support, key=lambda t: (-support[t], t))
+    utf8 = [t for t in ranked if t.endswith(">utf-8")]
+    swaps = [t for t in ranked if not t.endswith(">utf-8")]
+    schema = "word string, texts long, transformation string, support long, restored string, whole boolean"
+
+    def deeper(s: str) -> str:
+        while (more := next((x for t in utf8 if (x := transform(s, t)) is not None), None)) is not None:
+            s = more
+        return s
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f"{w}>utf-8" for w in DECODED_BY]
-        single = list(_translations())
-        held = lambda s: bool(int(bloom[(h := xxhash.xxh64(s.encode(), seed=42).intdigest() % BLOOM_BITS) >> 6]) >> (h & 63) & 1)
         for f in frames:
             out = []
             for word, n in zip(f["word"], f["texts"], strict=True):
-                strict = False
-                for name in names:
-                    s = transform(word, name)
-                    if s is not None and all(c.isascii() or c in alphabet for c in s):
-                        out.append((word, n, name, s))
-                        strict = True
-                if strict or len(word) < SHORTEST:
-                    continue
-                seen: dict[str, str] = {}
-                for name in single:
-                    s = transform(word, name)
-                    if s is not None and s not in seen and held(s):
-                        seen[s] = name
-                        out.append((word, n, name, s))
-                    elif s in seen:
-                        out.append((word, n, name, s))
-            yield pd.DataFrame(out, columns=["word", "texts", "transformation", "restored"])
+                forms: dict[str, tuple[str, bool]] = {}
+                for t in utf8:
+                    if (got := decode_sequences(word, t.partition(">")[0])) is not None:
+                        s = deeper(got[0])
+                        if s not in forms or got[1] and not forms[s][1]:
+                            forms[s] = (t, got[1])
+                if not any(whole for _, whole in forms.values()):
+                    for t in swaps:
+                        if (s := transform(word, t)) is not None:
+                            forms.setdefault(s, (t, True))
+                out += [(word, n, t, support[t], s, whole) for s, (t, whole) in forms.items()] or [(word, n, None, 0, None, None)]
+            yield pd.DataFrame(out, columns=["word", "texts", "transformation", "support", "restored", "whole"])
 
     return vocab.select("word", "texts").mapInPandas(run, schema)
 
 
-def twins(proposed: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Proposals whose restored form is a word of the corpus, with the texts that hold it."""
-    clean = vocab.select(F.col("word").alias("restored"), F.col("texts").alias("twin_texts"))
-    return proposed.join(clean, "restored")
-
-
-def learned(twin: DataFrame) -> DataFrame:
-    """(transformation, support): those that explain enough different twins. At most one row a registered transformation."""
-    utf8 = F.col("transformation").endswith(">utf-8")
-    good = twin.filter(utf8 & (F.col("twin_texts") > F.col("texts")) | (F.col("twin_texts") >= RATIO * F.col("texts")))
-    rows = good.groupBy("transformation").agg(F.count_distinct("word").alias("support"))
-    return rows.filter(F.col("support") >= F.when(utf8, UTF8_SUPPORT).otherwise(SUPPORT))
-
-
-def mappings(twin: DataFrame) -> DataFrame:
-    """(transformation, garbled, clean, support): the aligned runs behind the learned transformations."""
-    schema = T.ArrayType(T.StructType([T.StructField("garbled", T.StringType()), T.StructField("clean", T.StringType())]))
-
-    @F.pandas_udf(schema)
-    def runs(garbled: pd.Series, clean: pd.Series) -> pd.Series:
-        return pd.Series([[{"garbled": x, "clean": y} for x, y in align(a, b)] for a, b in zip(garbled, clean, strict=True)])
-
-    good = twin.join(learned(twin).select("transformation"), "transformation").filter(F.col("twin_texts") > F.col("texts"))
-    each = good.select("transformation", "word", F.explode(runs("word", "restored")).alias("m"))
-    return each.groupBy("transformation", "m.garbled", "m.clean").agg(F.count_distinct("word").alias("support"))
-
-
-def verdicts(vocab: DataFrame) -> DataFrame:
+def verdicts(vocab: DataFrame, support: dict[str, int]) -> DataFrame:
     """(word, restored, transformation): garbled words; ``restored`` is NULL where characters are lost."""
-    from touchline.session import cut
-
-    proposed = cut(proposals(vocab))
-    twin = twins(proposed, vocab)
-    known = learned(twin)
-    scored = proposed.join(known, "transformation").join(
-        vocab.select(F.col("word").alias("restored"), F.col("texts").alias("twin_texts")), "restored", "left"
-    )
-    utf8 = F.col("transformation").endswith(">utf-8")
-    fits = utf8 | (F.coalesce("twin_texts", F.lit(0)) >= RATIO * F.col("texts"))
-    best = F.max_by(F.struct("restored", "transformation"), F.struct(utf8, F.coalesce("twin_texts", F.lit(0)), "support", "transformation"))
+    tried = cut(apply_learned(vocab, support))
+    t = F.col("transformation")
+    # what words that no learned sequence fits are made of; at most Unicode's characters come to the driver
+    plain = tried.groupBy("word", "texts").agg(F.max(F.coalesce(is_utf8(t) & F.col("whole"), F.lit(False))).alias("u")).filter("not u")
+    usual = plain.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), "texts").filter(F.col("c").rlike(NON_ASCII))
+    usual = [r["c"] for r in usual.groupBy("c").agg(F.sum("texts").alias("n")).filter(F.col("n") >= USUAL).collect()]
+    alphabet = "".join(sorted(set(usual)))
+    proposed = tried.filter(t.isNotNull())
+    twin = vocab.select(F.col("word").alias("restored"), F.col("texts").alias("twin_texts"))
+    scored = proposed.join(twin, "restored", "left").withColumn("twin_texts", F.coalesce("twin_texts", F.lit(0)))
+    strange = F.length(F.translate(F.regexp_replace("restored", r"[\x{00}-\x{7F}]+", ""), alphabet, "")) > 0
+    sure = is_utf8(t) & F.col("whole") & ~_is_multi(t) & ~strange
+    fits = sure | F.when(is_utf8(t), F.col("twin_texts") > 0).otherwise(F.col("twin_texts") >= RATIO * F.col("texts"))
+    best = F.max_by(F.struct("restored", "transformation"), F.struct(is_utf8(t), F.col("twin_texts"), "support", "transformation"))
     found = scored.filter(fits).groupBy("word").agg(best.alias("b")).select("word", "b.restored", "b.transformation")
     lost = vocab.filter(F.col("word").rlike(LOST)).select("word").join(found.select("word"), "word", "left_anti")
     return found.unionByName(lost.select("word", F.lit(None).cast("string").alias("restored"), F.lit("lost").alias("transformation")))
 
 
-def garbled_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(text_key, word, restored, transformation) of all garbled words, and the different texts."""
-    from touchline.session import cut
+def learn(docs: DataFrame, vocab: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The evidence in the corpus, and what it teaches: at most one entry a pair of codecs."""
+    found = cut(evidence(twins(records(docs, vocab))))
+    return found, learned(found)
+
 
-    texts = distinct_texts(docs)
-    words = words_of(texts)
-    bad = cut(verdicts(cut(vocabulary(words))))
-    return words.join(bad, "word"), texts
+def garbled_words(docs: DataFrame) -> DataFrame:
+    """(text_key, doc_id, word, restored, transformation, weak) of all garbled words of all documents."""
+    vocab = cut(vocabulary(docs))
+    bad = cut(verdicts(vocab, learn(docs, vocab)[1]))
+    t = F.col("transformation")
+    weak = ~(is_utf8(t) | (t == "lost")) & (F.length("word") < 3)
+    return words_of(docs).select("doc_id", "text_key", F.explode("words").alias("word")).join(bad.withColumn("weak", weak), "word")
 
 
 def garbled_documents(docs: DataFrame) -> DataFrame:
     """(doc_id): documents with a garbled passage, restorable or not."""
-    hits, _ = garbled_texts(docs)
-    keys = hits.select("text_key").distinct()
-    held = docs.filter(F.col("text").rlike(NON_ASCII)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"))
-    return held.join(keys, "text_key", "left_semi").select("doc_id")
+    return garbled_words(docs).filter("not weak").select("doc_id").distinct()
 
 
 def restore_text(text: str, table: dict[str, tuple[str | None, str]]) -> str:
@@ -287,18 +403,18 @@ def restore_text(text: str, table: dict[str, tuple[str | None, str]]) -> str:
 
 def restored_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, restored, transformations, fully): garbled documents with their text as far as it can be restored."""
-    hits, texts = garbled_texts(docs)
-    # the words of one text, bounded by the text itself
-    tables = hits.groupBy("text_key").agg(F.collect_list(F.struct("word", "restored", "transformation")).alias("table"))
+    hits = garbled_words(docs)
+    # the words of one text, bounded by the text itself; weak ones only beside others of their transformation
+    tables = hits.groupBy("doc_id").agg(F.collect_list(F.struct("word", "restored", "transformation", "weak")).alias("table"))
+    strong = F.transform(F.filter("table", lambda x: ~x["weak"]), lambda x: x["transformation"])
+    tables = tables.withColumn("table", F.filter("table", lambda x: ~x["weak"] | F.array_contains(strong, x["transformation"]))).filter(F.size("table") > 0)
 
     @F.pandas_udf("string")
     def apply(text: pd.Series, table: pd.Series) -> pd.Series:
         return pd.Series([restore_text(t, {x["word"]: (x["restored"], x["transformation"]) for x in rows}) for t, rows in zip(text, table, strict=True)])
 
-    done = texts.join(tables, "text_key").select(
-        "text_key", apply("text", "table").alias("restored"),
+    return docs.select("doc_id", "text").join(tables, "doc_id").select(
+        "doc_id", apply("text", "table").alias("restored"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("table", lambda x: x["transformation"]))), ",").alias("transformations"),
         (~F.exists("table", lambda x: x["restored"].isNull())).alias("fully"),
     )
-    held = docs.filter(F.col("text").rlike(NON_ASCII)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"))
-    return held.join(done, "text_key").select("doc_id", "restored", "transformations", "fully")

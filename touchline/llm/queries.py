@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm import confusables, matching, mixing, mojibake, tokens
-from touchline.session import read
+from touchline.session import cut, read
 
 NAME_TABLES = ("sb_player_match", "fotmob_wc2026")
 
@@ -54,8 +54,8 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mappings(spark: SparkSession, d: str) -> DataFrame:
-    vocab = mojibake.vocabulary(mojibake.words_of(mojibake.distinct_texts(read(spark, d, "documents"))))
-    return mojibake.mappings(mojibake.twins(mojibake.proposals(vocab), vocab))
+    docs = read(spark, d, "documents")
+    return mojibake.mappings(*mojibake.learn(docs, cut(mojibake.vocabulary(docs))))
 
 
 def queries() -> dict:

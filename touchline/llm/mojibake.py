@@ -205,16 +205,25 @@ def text_key(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
+def beyond_ascii(c: Column) -> Column:
+    return F.length(c) != F.octet_length(c)
+
+
+def marked(text: Column) -> Column:
+    """The text with each pure ASCII stretch between spaces as a dot: what patterns over the rest have to read."""
+    return F.array_join(F.transform(F.split(text, " "), lambda x: F.when(beyond_ascii(x), x).otherwise(".")), " ")
+
+
 def words_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, words): the different words beyond ASCII of each document that has any. Texts themselves don't move."""
-    held = docs.filter(F.col("text").rlike(NON_ASCII))
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    held = docs.filter(beyond_ascii(F.col("text")))
+    words = F.array_distinct(F.regexp_extract_all(marked(F.col("text")), F.lit(WORD), F.lit(0)))
     return held.select("doc_id", text_key(F.col("text")).alias("text_key"), words.alias("words"))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, texts): how many different texts hold a word."""
-    key = docs.filter(F.col("text").rlike(NON_ASCII)).select("doc_id", text_key(F.col("text")).alias("text_key"))
+    key = docs.filter(beyond_ascii(F.col("text"))).select("doc_id", text_key(F.col("text")).alias("text_key"))
     first = key.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     words = words_of(docs).join(first, "doc_id", "left_semi")
     return words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
@@ -224,8 +233,8 @@ def records(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """(key, as_clean, as_garbled, item, texts): near-twin candidates under what is left of them without non-ASCII characters."""
     skeleton = F.regexp_replace("word", r"[^\x{00}-\x{7F}]+", "*")
     anchored = vocab.filter(F.col("word").rlike("[A-Za-z0-9]")).select(skeleton.alias("key"), F.lit(True).alias("as_clean"), F.lit(True).alias("as_garbled"), F.col("word").alias("item"), "texts")
-    held = docs.filter(F.col("text").rlike(NON_ASCII))
-    runs = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(SEQUENCE), F.lit(0)), lambda x: F.length(x) >= 4))
+    held = docs.filter(beyond_ascii(F.col("text")))
+    runs = F.array_distinct(F.filter(F.regexp_extract_all(marked(F.col("text")), F.lit(SEQUENCE), F.lit(0)), lambda x: F.length(x) >= 4))
     runs = held.select(F.explode(runs).alias("item")).groupBy("item").agg(F.count("*").alias("texts"))
     lengths = lambda size: F.array_join(F.transform(F.split("item", " "), lambda x: size(x).cast("string")), " ")
     chars, octets = lengths(F.length), lengths(F.octet_length)

@@ -71,41 +71,3 @@ def test_long_histories_dont_underflow(spark):
         if t:
             assert abs(got[t] - s / w) < 1e-6
         s, w = 0.5 * (s + t % 7), 0.5 * (w + 1)
-
-
-def test_anomalies_of_planted_readings(spark):
-    import random
-
-    from touchline.operators.anomalies import flag_readings
-
-    random.seed(4)
-    rows, i = [], 0
-    for m in range(40):
-        for p in range(24):
-            i += 1
-            minutes = 90.0 if p % 12 < 8 else float(random.randint(15, 80))
-            rows.append([i, p, m, "A" if p < 12 else "B", "Center Back", minutes, float(round(minutes * 0.6 * random.uniform(0.8, 1.2))), "group", "f", dt.datetime(2025, 1, 1) + dt.timedelta(days=m)])
-    want = set()
-    for r in rows:
-        if r[1] == 3 and 10 <= r[2] < 17:
-            r[5:7] = 61.0, 33.0
-        elif r[2] == 20 and r[3] == "B":
-            r[6] = 29.0
-        elif r[0] in (5, 101):
-            r[6] = 290.0
-        elif r[0] in (50, 151):
-            r[5] = [999.0, -4.0][r[0] == 50]
-        elif r[0] == 330:
-            r[5] = 1.0
-        elif r[0] == 400:
-            r[6] = None
-            continue
-        else:
-            continue
-        want.add(r[0])
-    schema = "row_id long, fm_player_id long, match_id long, team string, position string, minutes double, passes_attempted double, stage string, feed string, ingested_at timestamp_ntz"
-    rows += [[9000, *rows[4][1:]]]
-    df = spark.createDataFrame(rows, schema)
-    none = spark.createDataFrame([], "match_id long, kickoff timestamp_ntz")
-    assert {r["row_id"] for r in flag_readings(df, none).collect()} == want | {9000}
-    assert flag_readings(df.limit(0), none).count() == 0

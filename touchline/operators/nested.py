@@ -1,9 +1,11 @@
 """Deeply nested JSON -> related typed tables, by structural variants.
 
-A bottom-up tree automaton gives every node of interest a *state*: the state of a node follows from its kind and the states
-of its children (:data:`RULES`). Each state is a structural variant. Rows are routed by state to typed subtype tables, and a
-common supertype table keeps the shared keys and the link to the parent whatever the variant. Everything runs in the JVM on
-VARIANT values: a payload is parsed once a table and nodes are generated by ``variant_explode``.
+A bottom-up tree automaton reads every node: leaves get their state from their kind, inner nodes from their kind and the
+*states of their children* (:data:`RULES`; children of one role have a name, those of a container count as a set). The states of
+the nodes that become rows are their structural variants. :data:`SUBTYPES` registers a typed table for each variant whose
+nodes are kept; a supertype table has the shared keys and the parent link of all of them. Nodes in a state without a
+registered table, such as a statistic that is null, are in none. Everything runs in the JVM on VARIANT values: a payload is
+parsed once a table, objects and arrays are opened by casts, children are read by higher-order functions.
 
 Defined results: NULL, unreadable and non-object payloads give no rows; absent, null, empty and oddly shaped parts give no
 children (their parent is still there, with the state ``missing``, ``empty`` or ``odd``); a lone object in place of an array
@@ -13,94 +15,124 @@ unreadable otherwise; repeated fetches are separate raw records.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-#: Bottom-up transitions: node class -> ordered (state, condition over its kind and its children's states as SQL).
-RULES: dict[str, tuple[tuple[str, str], ...]] = {
-    "stat": (
-        ("null", "kind = 'null'"),
-        ("ratio", "kind = 'object' and inner_kind = 'object' and has_value and has_total"),
-        ("number", "kind = 'object' and inner_kind = 'object' and has_value"),
-        ("valueless", "kind = 'object' and inner_kind = 'object'"),
-        ("bare", "kind = 'object'"),
-        ("odd", "true"),
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: Transitions: node class -> ordered (state, conditions). A condition names what it looks at: ``kind`` (of the node itself), a
+#: child by its role, or the set of a container's children by ``any`` (one of them is in these states) and ``all`` (there is one and
+#: all are). The first rule whose conditions hold gives the state.
+RULES: dict[str, tuple[tuple[str, dict[str, tuple[str, ...]]], ...]] = {
+    "leaf": (("number", {"kind": ("number",)}), ("absent", {"kind": ("absent", "null")}), ("text", {"kind": ("scalar",)}), ("odd", {})),
+    "measure": (
+        ("ratio", {"kind": ("object",), "value": ("number",), "total": ("number",)}),
+        ("number", {"kind": ("object",), "value": ("number",)}),
+        ("valueless", {"kind": ("object",)}),
+        ("absent", {"kind": ("absent", "null")}),
+        ("odd", {}),
+    ),
+    "statistic": (
+        ("null", {"kind": ("null",)}),
+        ("ratio", {"kind": ("object",), "measure": ("ratio",)}),
+        ("number", {"kind": ("object",), "measure": ("number",)}),
+        ("valueless", {"kind": ("object",), "measure": ("valueless",)}),
+        ("bare", {"kind": ("object",)}),
+        ("odd", {}),
     ),
     "group": (
-        ("filled", "kind = 'object' and inner_kind = 'object' and inner_size > 0"),
-        ("empty", "kind = 'object' and inner_kind in ('object', 'array')"),
-        ("missing", "kind = 'object' and inner_kind in ('absent', 'null')"),
-        ("odd", "true"),
+        ("measured", {"kind": ("object",), "all": ("ratio", "number")}),
+        ("mixed", {"kind": ("object",), "any": ("ratio", "number", "valueless", "bare", "odd")}),
+        ("blank", {"kind": ("object",), "any": ("null",)}),
+        ("empty", {"kind": ("object",), "container": ("object", "array")}),
+        ("missing", {"kind": ("object",), "container": ("absent", "null")}),
+        ("odd", {}),
     ),
     "player": (
-        ("grouped", "kind = 'object' and inner_kind = 'array' and inner_size > 0"),
-        ("lone_group", "kind = 'object' and inner_kind = 'object' and has_value"),
-        ("empty", "kind = 'object' and inner_kind in ('array', 'object')"),
-        ("missing", "kind = 'object' and inner_kind in ('absent', 'null')"),
-        ("odd", "true"),
+        ("grouped", {"kind": ("object",), "container": ("array",), "any": ("measured", "mixed", "blank")}),
+        ("lone_group", {"kind": ("object",), "container": ("object",), "any": ("measured", "mixed", "blank", "empty")}),
+        ("empty", {"kind": ("object",), "container": ("array", "object")}),
+        ("missing", {"kind": ("object",), "container": ("absent", "null")}),
+        ("odd", {}),
+    ),
+    "record": (("rated", {"any": ("grouped", "lone_group")}), ("unrated", {"any": ("empty", "missing", "odd")}), ("empty", {})),
+    "team_statistic": (
+        ("odd", {"kind": ("absent", "null", "array", "scalar")}),
+        ("full", {"label": ("text", "number"), "shown": ("text", "number")}),
+        ("unlabelled", {"label": ("absent",), "name": ("text", "number")}),
+        ("valueless", {"label": ("text", "number")}),
+        ("unnamed", {}),
     ),
     "team": (
-        ("filled", "kind = 'object' and inner_kind = 'array' and inner_size > 0"),
-        ("lone_statistic", "kind = 'object' and inner_kind = 'object'"),
-        ("empty", "kind = 'object' and inner_kind = 'array'"),
-        ("missing", "kind = 'object' and inner_kind in ('absent', 'null')"),
-        ("odd", "true"),
+        ("filled", {"kind": ("object",), "container": ("array",), "any": ("full", "unlabelled", "valueless")}),
+        ("lone_statistic", {"kind": ("object",), "container": ("object",), "any": ("full", "unlabelled", "valueless")}),
+        ("empty", {"kind": ("object",), "container": ("array", "object")}),
+        ("missing", {"kind": ("object",), "container": ("absent", "null")}),
+        ("odd", {}),
     ),
-}
+}
+
+#: node class -> variant -> the columns that only this subtype has beside the supertype's keys.
+SUBTYPES: dict[str, dict[str, tuple[str, ...]]] = {
+    "statistic": {"ratio": ("value", "total", "stat_type"), "number": ("value", "stat_type"), "valueless": ("stat_type",), "bare": ("stat_key",), "odd": ()},
+    "group": {"measured": ("title", "group_key"), "mixed": ("title", "group_key"), "blank": ("title", "group_key"), "empty": ("title",), "missing": ("title",), "odd": ()},
+    "player": {"grouped": ("player_id", "player", "team_id", "is_goalkeeper"), "lone_group": ("player_id", "player", "team_id"), "empty": ("player_id", "player"), "missing": ("player_id", "player"), "odd": ()},
+    "team_statistic": {"full": ("name", "display_value", "value"), "unlabelled": ("name", "display_value", "value"), "valueless": ("name",)},
+    "team": {"filled": ("team", "abbreviation", "home_away"), "lone_statistic": ("team",), "empty": ("team",), "missing": ("team",), "odd": ()},
+}
+KEYS = {
+    "statistic": ("raw_id", "player_key", "group_pos", "label"), "group": ("raw_id", "player_key", "group_pos"), "player": ("raw_id", "player_key"),
+    "team_statistic": ("raw_id", "team_pos", "team_id", "stat_pos", "label"), "team": ("raw_id", "team_pos", "team_id"),
+}
+
+
+def state(node: str, kind: Column | None = None, children: Column | None = None, **roles: Column) -> Column:
+    """The automaton's state of a node, from its kind and the states of its children: by role, or ``children`` as an array."""
+    out = None
+    for name, conditions in RULES[node]:
+        holds = []
+        for slot, allowed in conditions.items():
+            if slot == "any":
+                holds.append(F.exists(children, _within(allowed)))
+            elif slot == "all":
+                holds.append((F.size(children) > 0) & F.forall(children, _within(allowed)))
+            else:
+                holds.append((kind if slot == "kind" else roles[slot]).isin(*allowed))
+        test = F.coalesce(reduce(lambda a, b: a & b, holds), F.lit(False)) if holds else F.lit(True)
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out
 
 
-def kind(v: Column) -> Column:
-    """``absent``, ``null``, ``object``, ``array`` or ``scalar``: the alphabet of the automaton.
+def _within(states: tuple[str, ...]):
+    return lambda s: s.isin(*states)
 
-    A filled array shows by its first element; only the rest is written out, never a whole map of players.
-    """
-    first = F.substring(F.to_json(v), 1, 1)
-    return (
-        F.when(v.isNull(), "absent").when(F.is_variant_null(v), "null").when(get(v, "$[0]").isNotNull(), "array")
-        .when(first == "{", "object").when(first == "[", "array").otherwise("scalar")
-    )
 
+def get(v: Column, path: str, kind_: str = "variant") -> Column:
+    return F.try_variant_get(v, path, kind_)
 
-def state(node: str, **facts: Column) -> Column:
-    """The automaton's state of a node, given its own kind and the facts its children's states amount to."""
-    out, names = None, {"kind", "inner_kind", "inner_size", "has_value", "has_total"}
-    for name, condition in RULES[node]:
-        holds = F.expr("true") if condition == "true" else _bind(condition, {k: v for k, v in facts.items() if k in names})
-        out = F.when(holds, name) if out is None else out.when(holds, name)
-    return out
 
+def members(v: Column) -> Column:
+    """Key and value of each member of an object; NULL for anything else."""
+    return F.map_entries(get(v, "$", "map<string,variant>"))
 
-def _bind(condition: str, facts: dict[str, Column]) -> Column:
-    total = None
-    for clause in condition.split(" and "):
-        name, _, rest = clause.partition(" ")
-        c = facts[name]
-        if rest.startswith("= "):
-            c = c == rest[3:-1]
-        elif rest.startswith("in "):
-            c = c.isin(*[x.strip(" '") for x in rest[4:-1].split(",")])
-        elif rest.startswith("> "):
-            c = c > int(rest[2:])
-        total = c if total is None else total & c
-    return F.coalesce(total, F.lit(False))
 
+def elements(v: Column) -> Column:
+    """The elements of an array; a lone object is an array of one; empty for anything else."""
+    return F.coalesce(get(v, "$", "array<variant>"), F.when(is_object(v), F.array(v)), F.array().cast("array<variant>"))
 
-def get(v: Column, path: str, kind_: str = "variant") -> Column:
-    return F.try_variant_get(v, path, kind_)
+
+def is_object(v: Column) -> Column:
+    return get(v, "$", "map<string,variant>").isNotNull()
 
 
-def explode(df: DataFrame, v: str, keep: list[str], kept_as: dict[str, str]) -> DataFrame:
-    """Children of a VARIANT column: ``pos``, ``key``, ``value`` under the names of ``kept_as``. Objects and arrays alike."""
-    spark: SparkSession = df.sparkSession
-    fields = [F.col(k) for k in keep]
-    child = spark.tvf.variant_explode(F.col(v).outer())
-    return df.lateralJoin(child).select(*fields, *[F.col(old).alias(new) for old, new in kept_as.items()])
+def kind(v: Column) -> Column:
+    """``absent``, ``null``, ``object``, ``array`` or ``scalar``: the alphabet of the automaton."""
+    return F.when(v.isNull(), "absent").when(F.is_variant_null(v), "null").when(is_object(v), "object").when(get(v, "$", "array<variant>").isNotNull(), "array").otherwise("scalar")
 
 
-def listed(df: DataFrame, v: str, keep: list[str], pos: str, value: str) -> DataFrame:
-    """Elements of an array, or the node itself at position 0 where a lone object stands in its place. One scan."""
-    lone = get(F.col(v), "$[0]").isNull() & F.col(v).isNotNull() & (F.substring(F.to_json(v), 1, 1) == "{")
-    held = df.select(*keep, F.when(lone, F.to_variant_object(F.array(v))).otherwise(F.col(v)).alias(v))
-    return explode(held, v, keep, {"pos": pos, "value": value})
+def leaf(v: Column) -> Column:
+    """State of a leaf; text that reads as a number counts as one."""
+    number = F.coalesce(get(v, "$", "double").isNotNull(), F.lit(False))
+    return state("leaf", kind=F.when(number, "number").otherwise(kind(v)))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -108,48 +140,64 @@ def parsed(raw: DataFrame) -> DataFrame:
     return raw.filter(F.ltrim("payload").startswith("{")).select("raw_id", F.try_parse_json("payload").alias("doc"))
 
 
+def _statistic(e: Column) -> Column:
+    """A member of a group's statistics with its state: leaves first, then the measure, then the statistic."""
+    node = e["value"]
+    inner, value, total = get(node, "$.stat"), get(node, "$.stat.value"), get(node, "$.stat.total")
+    measure = state("measure", kind=kind(inner), value=leaf(value), total=leaf(total))
+    return F.struct(e["key"].alias("label"), node.alias("node"), state("statistic", kind=kind(node), measure=measure).alias("state"))
+
+
+def _players(raw: DataFrame) -> DataFrame:
+    """One row a key of ``playerStats`` with its tree read from the leaves up: ``groups`` have ``stats``, each with its state."""
+    held = parsed(raw).select("raw_id", F.explode(members(get(F.col("doc"), "$.content.playerStats"))).alias("e"))
+    held = held.select("raw_id", F.col("e.key").alias("player_key"), F.col("e.value").alias("node"))
+    held = held.withColumn("inner", get(F.col("node"), "$.stats"))
+    held = held.withColumn("groups", F.transform(elements(F.col("inner")), lambda g: F.struct(g.alias("node"), get(g, "$.stats").alias("inner"))))
+    opened = lambda g: F.struct(
+        g["node"].alias("node"), kind(g["inner"]).alias("container"), F.transform(F.coalesce(members(g["inner"]), F.array().cast("array<struct<key:string,value:variant>>")), _statistic).alias("stats")
+    )
+    held = held.withColumn("groups", F.transform("groups", opened))
+    judged = lambda g: F.struct(
+        g["node"].alias("node"), g["stats"].alias("stats"),
+        state("group", kind=kind(g["node"]), container=g["container"], children=F.transform(g["stats"], lambda s: s["state"])).alias("state"),
+    )
+    held = held.withColumn("groups", F.transform("groups", judged))
+    of = state("player", kind=kind(F.col("node")), container=kind(F.col("inner")), children=F.transform("groups", lambda g: g["state"]))
+    return held.select("raw_id", "player_key", "node", "groups", of.alias("variant"))
+
+
 def players(raw: DataFrame) -> DataFrame:
-    """Supertype table of players: one row a key of ``playerStats``, linked to its raw record, with variant and node."""
-    stats = parsed(raw).select("raw_id", get(F.col("doc"), "$.content.playerStats").alias("map"))
-    # a child of an object has a key, one of an array has none, a scalar has no children
-    each = explode(stats, "map", ["raw_id"], {"key": "player_key", "value": "node"}).filter(F.col("player_key").isNotNull())
-    inner = get(F.col("node"), "$.stats")
-    # a lone group has a container of statistics itself
-    return each.withColumn("inner", inner).withColumn("inner_kind", kind(F.col("inner"))).select(
-        "raw_id", "player_key",
-        get(F.col("node"), "$.id", "string").alias("player_id"), get(F.col("node"), "$.name", "string").alias("player"),
-        get(F.col("node"), "$.teamId", "string").alias("team_id"), get(F.col("node"), "$.isGoalkeeper", "boolean").alias("is_goalkeeper"),
-        state("player", kind=kind(F.col("node")), inner_kind=F.col("inner_kind"), inner_size=_size(F.col("inner"), F.col("inner_kind")),
-              has_value=get(F.col("inner"), "$.stats").isNotNull() | get(F.col("inner"), "$.title").isNotNull()).alias("variant"),
-        "node", "inner", "inner_kind",
+    """Supertype table of players: one row a key of ``playerStats``, linked to its raw record."""
+    node = F.col("node")
+    return _players(raw).select(
+        "raw_id", "player_key", "variant", get(node, "$.id", "string").alias("player_id"), get(node, "$.name", "string").alias("player"),
+        get(node, "$.teamId", "string").alias("team_id"), get(node, "$.isGoalkeeper", "boolean").alias("is_goalkeeper"),
     )
 
 
-def _size(v: Column, kind_: Column) -> Column:
-    """1 if a container has a child, else 0: all that the automaton asks for."""
-    return F.when(kind_ == "array", F.when(get(v, "$[0]").isNotNull(), 1).otherwise(0)).when(kind_ == "object", F.when(F.to_json(v) == "{}", 0).otherwise(1)).otherwise(0)
+def records(raw: DataFrame) -> DataFrame:
+    """(raw_id, variant, players): the state of each readable record from those of its players."""
+    of = _players(raw).groupBy("raw_id").agg(F.collect_set("variant").alias("states"), F.count("*").alias("players"))
+    every = parsed(raw).filter("doc is not null").select("raw_id").join(of, "raw_id", "left").withColumn("states", F.coalesce("states", F.array().cast("array<string>")))
+    return every.select("raw_id", state("record", children=F.col("states")).alias("variant"), F.coalesce("players", F.lit(0)).alias("players"))
+
+
+def _groups(raw: DataFrame) -> DataFrame:
+    return _players(raw).select("raw_id", "player_key", F.posexplode("groups").alias("group_pos", "g"))
 
 
 def groups(raw: DataFrame) -> DataFrame:
-    """One row a statistics group of a player; ``group_pos`` links it and its statistics."""
-    each = listed(players(raw), "inner", ["raw_id", "player_key"], "group_pos", "group_node")
-    each = each.withColumn("inner", get(F.col("group_node"), "$.stats")).withColumn("inner_kind", kind(F.col("inner")))
-    return each.select(
-        "raw_id", "player_key", "group_pos",
-        get(F.col("group_node"), "$.title", "string").alias("title"), get(F.col("group_node"), "$.key", "string").alias("group_key"),
-        state("group", kind=kind(F.col("group_node")), inner_kind=F.col("inner_kind"), inner_size=_size(F.col("inner"), F.col("inner_kind"))).alias("variant"),
-        "inner",
-    )
+    """Supertype table of the groups of a player's statistics; ``group_pos`` links its statistics."""
+    node = F.col("g.node")
+    return _groups(raw).select("raw_id", "player_key", "group_pos", F.col("g.state").alias("variant"), get(node, "$.title", "string").alias("title"), get(node, "$.key", "string").alias("group_key"))
 
 
-def player_statistics(raw: DataFrame) -> DataFrame:
-    """Supertype table of statistics of players. A statistic that is null is a node of state ``null`` and left out."""
-    each = explode(groups(raw), "inner", ["raw_id", "player_key", "group_pos"], {"key": "label", "value": "node"})
-    each = each.filter(F.col("label").isNotNull() & ~F.is_variant_null("node"))
-    inner, node = get(F.col("node"), "$.stat"), F.col("node")
-    return each.select(
-        "raw_id", "player_key", "group_pos", "label", get(node, "$.key", "string").alias("stat_key"),
-        state("stat", kind=kind(node), inner_kind=kind(inner), has_value=get(node, "$.stat.value", "double").isNotNull(), has_total=get(node, "$.stat.total", "double").isNotNull()).alias("variant"),
+def statistics(raw: DataFrame) -> DataFrame:
+    """All statistics of players in all states, null ones too, linked by (raw_id, player_key, group_pos)."""
+    node = F.col("s.node")
+    return _groups(raw).select("raw_id", "player_key", "group_pos", F.explode("g.stats").alias("s")).select(
+        "raw_id", "player_key", "group_pos", F.col("s.label").alias("label"), F.col("s.state").alias("variant"), get(node, "$.key", "string").alias("stat_key"),
         get(node, "$.stat.value", "double").alias("value"), get(node, "$.stat.total", "double").alias("total"),
         get(node, "$.stat.type", "string").alias("stat_type"), get(node, "$.hideInPopup", "boolean").alias("hidden"),
     )
@@ -157,57 +205,77 @@ def player_statistics(raw: DataFrame) -> DataFrame:
 
 def shots(raw: DataFrame) -> DataFrame:
     """One row a shot of a player, linked by (raw_id, player_key)."""
-    held = players(raw).select("raw_id", "player_key", get(F.col("node"), "$.shotmap").alias("shotmap"))
-    each = listed(held, "shotmap", ["raw_id", "player_key"], "shot_pos", "node").filter(F.substring(F.to_json("node"), 1, 1) == "{")
-    node = F.col("node")
-    return each.select(
+    each = _players(raw).select("raw_id", "player_key", F.posexplode(elements(get(F.col("node"), "$.shotmap"))).alias("shot_pos", "shot"))
+    node = F.col("shot")
+    return each.filter(is_object(node)).select(
         "raw_id", "player_key", "shot_pos", get(node, "$.id", "string").alias("shot_id"), get(node, "$.min", "int").alias("minute"),
         get(node, "$.situation", "string").alias("situation"), get(node, "$.onGoalShot.x", "double").alias("goal_x"), get(node, "$.onGoalShot.y", "double").alias("goal_y"),
     )
 
 
+def _teams(raw: DataFrame) -> DataFrame:
+    """One row a team of the box score, its statistics read from the leaves up."""
+    held = parsed(raw).select("raw_id", F.posexplode(elements(get(F.col("doc"), "$.boxscore.teams"))).alias("team_pos", "node")).filter(is_object(F.col("node")))
+
+    def judged(n: Column) -> Column:
+        label, name, shown = (leaf(get(n, f"$.{k}")) for k in ("label", "name", "displayValue"))
+        return F.struct(n.alias("node"), state("team_statistic", kind=kind(n), label=label, name=name, shown=shown).alias("state"))
+
+    held = held.withColumn("inner", get(F.col("node"), "$.statistics")).withColumn("stats", F.transform(elements(F.col("inner")), judged))
+    of = state("team", kind=kind(F.col("node")), container=kind(F.col("inner")), children=F.transform("stats", lambda s: s["state"]))
+    return held.select("raw_id", "team_pos", get(F.col("node"), "$.team.id", "string").alias("team_id"), "node", "stats", of.alias("variant"))
+
+
 def teams(raw: DataFrame) -> DataFrame:
     """Supertype table of the box score's teams."""
-    held = parsed(raw).select("raw_id", get(F.col("doc"), "$.boxscore.teams").alias("teams"))
-    each = listed(held, "teams", ["raw_id"], "team_pos", "node").filter(F.substring(F.to_json("node"), 1, 1) == "{")
-    each = each.withColumn("inner", get(F.col("node"), "$.statistics")).withColumn("inner_kind", kind(F.col("inner")))
     node = F.col("node")
-    return each.select(
-        "raw_id", "team_pos", get(node, "$.team.id", "string").alias("team_id"), get(node, "$.team.displayName", "string").alias("team"),
+    return _teams(raw).select(
+        "raw_id", "team_pos", "team_id", "variant", get(node, "$.team.displayName", "string").alias("team"),
         get(node, "$.team.abbreviation", "string").alias("abbreviation"), get(node, "$.homeAway", "string").alias("home_away"),
-        state("team", kind=kind(node), inner_kind=F.col("inner_kind"), inner_size=_size(F.col("inner"), F.col("inner_kind"))).alias("variant"),
-        "inner", "inner_kind",
     )
 
 
 def team_statistics(raw: DataFrame) -> DataFrame:
-    """Supertype table of statistics of teams; one without label and name has no name and is left out."""
-    each = listed(teams(raw), "inner", ["raw_id", "team_pos", "team_id"], "stat_pos", "node")
-    node = F.col("node")
-    label, name = get(node, "$.label", "string"), get(node, "$.name", "string")
+    """All statistics of teams in all states, unnamed ones too; ``label`` is the name where there is no label."""
+    each = _teams(raw).select("raw_id", "team_pos", "team_id", F.posexplode("stats").alias("stat_pos", "s"))
+    node = F.col("s.node")
+    label, name, shown = (get(node, f"$.{k}", "string") for k in ("label", "name", "displayValue"))
     return each.select(
-        "raw_id", "team_pos", "team_id", "stat_pos", F.coalesce(label, name).alias("label"), name.alias("name"),
-        get(node, "$.displayValue", "string").alias("display_value"),
-        F.try_element_at(F.split(get(node, "$.displayValue", "string"), "%"), F.lit(1)).try_cast("double").alias("value"),
-        F.when(label.isNull(), "unlabelled").when(get(node, "$.displayValue", "string").isNull(), "valueless").otherwise("full").alias("variant"),
-    ).filter(F.col("label").isNotNull())
+        "raw_id", "team_pos", "team_id", "stat_pos", F.coalesce(label, name).alias("label"), name.alias("name"), shown.alias("display_value"),
+        F.try_element_at(F.split(shown, "%"), F.lit(1)).try_cast("double").alias("value"), F.col("s.state").alias("variant"),
+    )
+
 
+SUPERTYPES = {"statistic": statistics, "group": groups, "player": players, "team_statistic": team_statistics, "team": teams}
 
-#: variant -> typed subtype of a player's statistic, with the columns that only this subtype has
-STAT_SUBTYPES = {"ratio": ("value", "total"), "number": ("value",), "valueless": (), "bare": (), "odd": ()}
 
+def kept(raw: DataFrame, node: str) -> DataFrame:
+    """The supertype table of a class: nodes of all registered variants."""
+    return SUPERTYPES[node](raw).filter(F.col("variant").isin(*SUBTYPES[node]))
 
-def statistic_subtype(statistics: DataFrame, variant: str) -> DataFrame:
+
+def subtype(raw: DataFrame, node: str, variant: str) -> DataFrame:
     """The typed table of one structural variant; its keys are those of the supertype row."""
-    return statistics.filter(F.col("variant") == variant).select("raw_id", "player_key", "group_pos", "label", *STAT_SUBTYPES[variant])
+    return SUPERTYPES[node](raw).filter(F.col("variant") == variant).select(*KEYS[node], *SUBTYPES[node][variant])
+
+
+def union_of_subtypes(raw: DataFrame, node: str) -> DataFrame:
+    """The keys of all rows of a class's typed tables, with the table each is in: their union in one pass over the records.
+
+    A node is routed to the one table whose variant is its state; without a table it goes nowhere.
+    """
+    t = SUPERTYPES[node](raw)
+    row = lambda v: F.struct(*KEYS[node], F.lit(v).alias("subtype"))
+    routed = F.array_compact(F.array(*[F.when(F.col("variant") == v, row(v)) for v in SUBTYPES[node]]))
+    return t.select(F.inline(routed))
 
 
 def named_statistics(matchdetails: DataFrame, summary: DataFrame) -> DataFrame:
-    """(raw_table, raw_id, owner_key, pos, label) of both raw tables."""
-    a = player_statistics(matchdetails).select(
+    """(raw_table, raw_id, owner_key, pos, label) of both raw tables, read from the typed tables of their statistics."""
+    a = union_of_subtypes(matchdetails, "statistic").select(
         F.lit("matchdetails").alias("raw_table"), "raw_id", F.col("player_key").alias("owner_key"), F.col("group_pos").cast("long").alias("pos"), "label"
     )
-    b = team_statistics(summary).select(
+    b = union_of_subtypes(summary, "team_statistic").select(
         F.lit("summary").alias("raw_table"), "raw_id", F.col("team_id").alias("owner_key"), F.col("stat_pos").cast("long").alias("pos"), "label"
     )
     return a.unionByName(b)

@@ -1,47 +1,104 @@
-"""Neighbours and runs in per-key sequences without one task holding a whole key.
+"""Ordered sequences a key without one task holding a whole key: range partitions with margins.
 
-A sequence of a hot key (a third of all rows) can't go through one window partition. Both operators work on two levels: in
-blocks of (key, block), where the block follows the order (a day, say), and then over at most two rows of each block.
+Rows are range-partitioned by key *and* order, so a key with a third of all rows is spread over many tasks. What a row needs of
+its neighbours across a partition's edge comes from a margin of a fixed number of readings on either side; a reading is a group
+of adjacent rows that agree on some columns, so a thousand copies of one row fill no margin. Margins are the only thing that
+reaches the driver: a fixed number of narrow rows a partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-
-def with_runs(seq: DataFrame, key: str, block: str, order: list[str], value: Column) -> DataFrame:
-    """Adds ``run_length``: the number of successive rows of the key that hold the same ``value``, this row's run.
-
-    ``order`` must be total within the key and start with ``block``'s order. NULL values compare equal.
-    """
-    inside = W.partitionBy(key, block).orderBy(*order)
-    v = seq.withColumn("_v", value)
-    changed = ~F.col("_v").eqNullSafe(F.lag("_v").over(inside)) | (F.row_number().over(inside) == 1)
-    v = v.withColumn("_run", F.sum(changed.cast("long")).over(inside))
-    runs = v.groupBy(key, block, "_run").agg(F.first("_v").alias("_v"), F.count("*").alias("_n"))
-    runs = runs.withColumn("_runs", F.max("_run").over(W.partitionBy(key, block)))
-    edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
-    across = W.partitionBy(key).orderBy(block, "_run")
-    # the last run of a block with inner runs doesn't follow the first one directly
-    apart = ~F.col("_v").eqNullSafe(F.lag("_v").over(across)) | ((F.col("_run") > 1) & (F.col("_runs") > 2)) | F.lag("_run").over(across).isNull()
-    edges = runs.filter(edge).withColumn("_island", F.sum(apart.cast("long")).over(across))
-    edges = edges.withColumn("run_length", F.sum("_n").over(W.partitionBy(key, "_island"))).select(key, block, "_run", "run_length")
-    inner = runs.filter(~edge).select(key, block, "_run", F.col("_n").alias("run_length"))
-    return v.join(edges.unionByName(inner), [key, block, "_run"]).drop("_v", "_run")
-
-
-def with_neighbours(seq: DataFrame, key: str, block: str, order: list[str], values: list[str]) -> DataFrame:
-    """Adds ``prev_<v>`` and ``next_<v>`` of each value column: those of the neighbouring rows of the key, NULL at its ends."""
-    inside = W.partitionBy(key, block).orderBy(*order)
-    whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    row = F.struct(*values)
-    v = seq.withColumn("_p", F.lag(row).over(inside)).withColumn("_n", F.lead(row).over(inside))
-    v = v.withColumn("_first", F.first(row).over(whole)).withColumn("_last", F.last(row).over(whole))
-    v = v.withColumn("_rn", F.row_number().over(inside))
-    heads = v.filter(F.col("_rn") == 1).select(key, block, "_first", "_last")
-    across = W.partitionBy(key).orderBy(block)
-    sides = heads.select(key, block, F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
-    out = v.join(sides, [key, block])
-    out = out.withColumn("_p", F.coalesce("_p", "_before")).withColumn("_n", F.coalesce("_n", "_after"))
-    named = [F.col(f"_p.{x}").alias(f"prev_{x}") for x in values] + [F.col(f"_n.{x}").alias(f"next_{x}") for x in values]
-    return out.select(*seq.columns, *named)
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+from touchline.session import cut
+
+
+def ordered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``key`` and ``order``, written once; partitions follow each other."""
+    return cut(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order))
+
+
+def starts(f: pd.DataFrame, ident: list[str]) -> np.ndarray:
+    """Whether a row begins a reading: it differs from the one before in one of the columns. Missing values agree."""
+    out = np.zeros(len(f), dtype=bool)
+    if len(f):
+        out[0] = True
+    for c in ident:
+        v = f[c].to_numpy()
+        differ = v[1:] != v[:-1]
+        gone = pd.isna(v)
+        out[1:] |= differ & ~(gone[1:] & gone[:-1])
+    return out
+
+
+def _plain(f: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as objects: joined frames hold theirs in chunks, which a record batch can't."""
+    return f.astype({c: object for c in f.columns if not isinstance(f[c].dtype, np.dtype)})
+
+
+def _edges(seq: DataFrame, ident: list[str], size: int, keep: str) -> pd.DataFrame:
+    """First and last ``size`` readings of each partition (one row each), of the rows where ``keep`` holds."""
+    cols = seq.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, tail, at = None, None, TaskContext.get().partitionId()
+        for f in frames:
+            f = f[f[keep].to_numpy(bool)]
+            if not len(f):
+                continue
+            both = f if tail is None else pd.concat([tail, f], ignore_index=True)
+            tail = both[starts(both, ident)].iloc[-size:]
+            if head is None or len(head) < size:
+                both = f if head is None else pd.concat([head, f], ignore_index=True)
+                head = both[starts(both, ident)].iloc[:size]
+        for side, rows in (("head", head), ("tail", tail)):
+            if rows is not None:
+                yield _plain(rows.assign(_partition=at, _side=side))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in seq.dtypes) + ", _partition int, _side string"
+    return seq.mapInPandas(run, schema).toPandas()[[*cols, "_partition", "_side"]]
+
+
+def margins(seq: DataFrame, ident: list[str], size: int, keep: str) -> dict[int, tuple[pd.DataFrame, pd.DataFrame]]:
+    """Partition -> (readings before it, readings after it), each up to ``size`` and taken across as many partitions as it needs."""
+    got = _edges(seq, ident, size, keep)
+    held = sorted(got["_partition"].unique())
+    side = {(p, s): g.drop(columns=["_partition", "_side"]) for (p, s), g in got.groupby(["_partition", "_side"])}
+    n = seq.rdd.getNumPartitions()
+    none = got.iloc[:0].drop(columns=["_partition", "_side"])
+
+    def chain(order: list[int], name: str, last: bool) -> dict[int, pd.DataFrame]:
+        out, run, known = {}, none, set(held)
+        for p in order:
+            out[p] = run
+            if p in known:
+                part = side[p, name]
+                both = [part] if not len(run) or len(part) >= size else [run, part] if last else [part, run]
+                run = pd.concat(both, ignore_index=True) if len(both) > 1 else part
+                run = run[starts(run, ident)]
+                run = run.iloc[-size:] if last else run.iloc[:size]
+        return out
+
+    before, after = chain(list(range(n)), "tail", True), chain(list(range(n - 1, -1, -1)), "head", False)
+    return {p: (before[p], after[p]) for p in range(n)}
+
+
+def map_with_margins(seq: DataFrame, around: dict[int, tuple[pd.DataFrame, pd.DataFrame]], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on each partition's rows with its margins; ``_own`` tells the partition's rows from them. No shuffle."""
+    shared = seq.sparkSession.sparkContext.broadcast(around)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [f for f in frames if len(f)]
+        if own:
+            before, after = shared.value[TaskContext.get().partitionId()]
+            parts = [before.assign(_own=False), pd.concat(own, ignore_index=True).assign(_own=True), after.assign(_own=False)]
+            out = _plain(work(pd.concat([p for p in parts if len(p)], ignore_index=True)))
+            if len(out):
+                yield out
+
+    return seq.mapInPandas(run, schema)

@@ -45,6 +45,8 @@ LOST = r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]"
 #: Parameters: records that make a transformation learned, by kind; how many more texts must hold the clean twin of an ambiguous
 #: word; how many records may speak for the opposite direction to each that speaks for it; texts that make a character usual.
 UTF8_SUPPORT, SUPPORT, RATIO, AGAINST, USUAL = 2, 3, 8, 0.1, 3
+#: Garbled words that may be broadcast (some 100 bytes each).
+BROADCAST = 100_000
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -215,27 +217,25 @@ def marked(text: Column) -> Column:
 
 
 def words_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, words): the different words beyond ASCII of each document that has any. Texts themselves don't move."""
-    held = docs.filter(beyond_ascii(F.col("text")))
-    words = F.array_distinct(F.regexp_extract_all(marked(F.col("text")), F.lit(WORD), F.lit(0)))
-    return held.select("doc_id", text_key(F.col("text")).alias("text_key"), words.alias("words"))
+    """(doc_id, text_key, words, runs): the different words beyond ASCII of each document that has any, and its different runs of
+    words without ASCII letters or digits. The only pass of patterns over the texts; texts themselves don't move."""
+    held = docs.filter(beyond_ascii(F.col("text"))).select("doc_id", text_key(F.col("text")).alias("text_key"), marked(F.col("text")).alias("m"))
+    found = lambda pattern: F.array_distinct(F.regexp_extract_all("m", F.lit(pattern), F.lit(0)))
+    return held.select("doc_id", "text_key", found(WORD).alias("words"), F.filter(found(SEQUENCE), lambda x: F.length(x) >= 4).alias("runs"))
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, texts): how many different texts hold a word."""
-    key = docs.filter(beyond_ascii(F.col("text"))).select("doc_id", text_key(F.col("text")).alias("text_key"))
-    first = key.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    words = words_of(docs).join(first, "doc_id", "left_semi")
-    return words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
+def vocabulary(words: DataFrame) -> DataFrame:
+    """(word, texts): how many different texts hold a word; ``words`` as of :func:`words_of`."""
+    first = words.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    one = words.select("doc_id", "words").join(first, "doc_id", "left_semi")
+    return one.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
 
 
-def records(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+def records(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(key, as_clean, as_garbled, item, texts): near-twin candidates under what is left of them without non-ASCII characters."""
     skeleton = F.regexp_replace("word", r"[^\x{00}-\x{7F}]+", "*")
     anchored = vocab.filter(F.col("word").rlike("[A-Za-z0-9]")).select(skeleton.alias("key"), F.lit(True).alias("as_clean"), F.lit(True).alias("as_garbled"), F.col("word").alias("item"), "texts")
-    held = docs.filter(beyond_ascii(F.col("text")))
-    runs = F.array_distinct(F.filter(F.regexp_extract_all(marked(F.col("text")), F.lit(SEQUENCE), F.lit(0)), lambda x: F.length(x) >= 4))
-    runs = held.select(F.explode(runs).alias("item")).groupBy("item").agg(F.count("*").alias("texts"))
+    runs = words.select(F.explode("runs").alias("item")).groupBy("item").agg(F.count("*").alias("texts"))
     lengths = lambda size: F.array_join(F.transform(F.split("item", " "), lambda x: size(x).cast("string")), " ")
     chars, octets = lengths(F.length), lengths(F.octet_length)
     kind = F.array(
@@ -369,19 +369,22 @@ def verdicts(vocab: DataFrame, support: dict[str, int]) -> DataFrame:
     return found.unionByName(lost.select("word", F.lit(None).cast("string").alias("restored"), F.lit("lost").alias("transformation")))
 
 
-def learn(docs: DataFrame, vocab: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+def learn(words: DataFrame, vocab: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """The evidence in the corpus, and what it teaches: at most one entry a pair of codecs."""
-    found = cut(evidence(twins(records(docs, vocab))))
+    found = cut(evidence(twins(cut(records(words, vocab)))))
     return found, learned(found)
 
 
 def garbled_words(docs: DataFrame) -> DataFrame:
     """(text_key, doc_id, word, restored, transformation, weak) of all garbled words of all documents."""
-    vocab = cut(vocabulary(docs))
-    bad = cut(verdicts(vocab, learn(docs, vocab)[1]))
+    words = cut(words_of(docs))
+    vocab = cut(vocabulary(words))
+    bad = cut(verdicts(vocab, learn(words, vocab)[1]))
     t = F.col("transformation")
-    weak = ~(is_utf8(t) | (t == "lost")) & (F.length("word") < 3)
-    return words_of(docs).select("doc_id", "text_key", F.explode("words").alias("word")).join(bad.withColumn("weak", weak), "word")
+    bad = bad.withColumn("weak", ~(is_utf8(t) | (t == "lost")) & (F.length("word") < 3))
+    # a few bytes a word: sent to all tasks only where there are few enough, else both sides are shuffled by word
+    bad = F.broadcast(bad) if bad.limit(BROADCAST + 1).count() <= BROADCAST else bad
+    return words.select("doc_id", "text_key", F.explode("words").alias("word")).join(bad, "word")
 
 
 def garbled_documents(docs: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mappings(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
-    return mojibake.mappings(*mojibake.learn(docs, cut(mojibake.vocabulary(docs))))
+    words = cut(mojibake.words_of(read(spark, d, "documents")))
+    return mojibake.mappings(*mojibake.learn(words, cut(mojibake.vocabulary(words))))
 
 
 def queries() -> dict:

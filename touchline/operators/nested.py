@@ -131,8 +131,11 @@ def kind(v: Column) -> Column:
 
 def leaf(v: Column) -> Column:
     """State of a leaf; text that reads as a number counts as one."""
-    number = F.coalesce(get(v, "$", "double").isNotNull(), F.lit(False))
-    return state("leaf", kind=F.when(number, "number").otherwise(kind(v)))
+    return state("leaf", kind=_leaf_kind(v))
+
+
+def _leaf_kind(v: Column) -> Column:
+    return F.when(v.isNull(), "absent").when(get(v, "$", "double").isNotNull(), "number").otherwise(kind(v))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -140,12 +143,27 @@ def parsed(raw: DataFrame) -> DataFrame:
     return raw.filter(F.ltrim("payload").startswith("{")).select("raw_id", F.try_parse_json("payload").alias("doc"))
 
 
-def _statistic(e: Column) -> Column:
-    """A member of a group's statistics with its state: leaves first, then the measure, then the statistic."""
-    node = e["value"]
-    inner, value, total = get(node, "$.stat"), get(node, "$.stat.value"), get(node, "$.stat.total")
-    measure = state("measure", kind=kind(inner), value=leaf(value), total=leaf(total))
-    return F.struct(e["key"].alias("label"), node.alias("node"), state("statistic", kind=kind(node), measure=measure).alias("state"))
+def _statistics(members_: Column) -> Column:
+    """The members of a group's statistics with their states: leaves first, then the measure, then the statistic.
+
+    One pass a level, so that each state is found once however many rules look at it.
+    """
+    read = lambda e: F.struct(
+        e["key"].alias("label"), e["value"].alias("node"), get(e["value"], "$.stat").alias("inner"),
+        get(e["value"], "$.stat.value").alias("value"), get(e["value"], "$.stat.total").alias("total"),
+    )
+    # a node that has a member is an object
+    leaves = lambda s: F.struct(
+        s["label"].alias("label"), s["node"].alias("node"), _leaf_kind(s["value"]).alias("value"), _leaf_kind(s["total"]).alias("total"),
+        F.when(s["value"].isNotNull(), "object").otherwise(kind(s["inner"])).alias("inner"), F.when(s["inner"].isNotNull(), "object").otherwise(kind(s["node"])).alias("kind"),
+    )
+    states = lambda s: F.struct(s["label"].alias("label"), s["node"].alias("node"), s["inner"].alias("inner"), s["kind"].alias("kind"), state("leaf", kind=s["value"]).alias("value"), state("leaf", kind=s["total"]).alias("total"))
+    measure = lambda s: F.struct(s["label"].alias("label"), s["node"].alias("node"), s["kind"].alias("kind"), state("measure", kind=s["inner"], value=s["value"], total=s["total"]).alias("measure"))
+    whole = lambda s: F.struct(s["label"].alias("label"), s["node"].alias("node"), state("statistic", kind=s["kind"], measure=s["measure"]).alias("state"))
+    out = members_
+    for step in (read, leaves, states, measure, whole):
+        out = F.transform(out, step)
+    return out
 
 
 def _players(raw: DataFrame) -> DataFrame:
@@ -154,15 +172,16 @@ def _players(raw: DataFrame) -> DataFrame:
     held = held.select("raw_id", F.col("e.key").alias("player_key"), F.col("e.value").alias("node"))
     held = held.withColumn("inner", get(F.col("node"), "$.stats"))
     held = held.withColumn("groups", F.transform(elements(F.col("inner")), lambda g: F.struct(g.alias("node"), get(g, "$.stats").alias("inner"))))
-    opened = lambda g: F.struct(
-        g["node"].alias("node"), kind(g["inner"]).alias("container"), F.transform(F.coalesce(members(g["inner"]), F.array().cast("array<struct<key:string,value:variant>>")), _statistic).alias("stats")
-    )
-    held = held.withColumn("groups", F.transform("groups", opened))
-    judged = lambda g: F.struct(
-        g["node"].alias("node"), g["stats"].alias("stats"),
-        state("group", kind=kind(g["node"]), container=g["container"], children=F.transform(g["stats"], lambda s: s["state"])).alias("state"),
+    none = F.array().cast("array<struct<key:string,value:variant>>")
+    opened = lambda g: F.struct(g["node"].alias("node"), g["inner"].alias("inner"), members(g["inner"]).alias("members"))
+    filled = lambda g: F.struct(
+        g["node"].alias("node"), F.when(g["inner"].isNotNull(), "object").otherwise(kind(g["node"])).alias("kind"),
+        F.when(g["members"].isNotNull(), "object").otherwise(kind(g["inner"])).alias("container"), _statistics(F.coalesce(g["members"], none)).alias("stats"),
     )
-    held = held.withColumn("groups", F.transform("groups", judged))
+    children = lambda g: F.struct(g["node"].alias("node"), g["stats"].alias("stats"), g["kind"].alias("kind"), g["container"].alias("container"), F.array_distinct(F.transform(g["stats"], lambda s: s["state"])).alias("states"))
+    judged = lambda g: F.struct(g["node"].alias("node"), g["stats"].alias("stats"), state("group", kind=g["kind"], container=g["container"], children=g["states"]).alias("state"))
+    for step in (opened, filled, children, judged):
+        held = held.withColumn("groups", F.transform("groups", step))
     of = state("player", kind=kind(F.col("node")), container=kind(F.col("inner")), children=F.transform("groups", lambda g: g["state"]))
     return held.select("raw_id", "player_key", "node", "groups", of.alias("variant"))
 

@@ -60,7 +60,7 @@ def course(rng, players, matches, phi, sd):
     return 0.5 * np.exp(out)
 
 
-def test_only_the_autoregression_tells_a_drift_from_a_spike(spark, monkeypatch):
+def test_only_the_autoregression_tells_a_spike_from_a_drift(spark, monkeypatch):
     rng = np.random.default_rng(8)
     # form comes and goes: up to five times the usual rate, never suddenly
     wave = np.sin(2 * np.pi * (np.arange(40)[None] / 13 + rng.uniform(0, 1, (60, 1))))
@@ -74,7 +74,8 @@ def test_only_the_autoregression_tells_a_drift_from_a_spike(spark, monkeypatch):
     clip = A.np.clip
     monkeypatch.setattr(A.np, "clip", lambda x, a, b: 0.0 if (a, b) == (-0.5, 0.95) else clip(x, a, b))
     without = {r["row_id"] for r in flag_readings(df, none).filter("spike").collect()}
-    assert len(without - got) >= 5
+    # without it the scale takes the drift for noise, in which the spike is lost
+    assert without != got and spike not in without
 
 
 def test_only_the_shift_test_tells_a_new_level_from_a_spike(spark):

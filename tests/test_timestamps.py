@@ -1,6 +1,8 @@
 import datetime as dt
 import zoneinfo
 
+import numpy as np
+
 from touchline.operators import timestamps as T
 
 
@@ -22,6 +24,7 @@ def test_formats_zones_and_unknowns(spark):
         ("2024-02-30T10:00:00Z", None, None), ("TBD", "M", None), ("", "M", None), (None, "M", None), ("13:00 PM", "M", None),
         ("2024-10-27 02:30:00", "M", "2024-10-27T00:30:00Z"),  # twice: the first
         ("2024-03-31 02:30:00", "M", "2024-03-31T01:30:00Z"),  # skipped
+        ("1986-06-22 12:00", "M", "1986-06-22T10:00:00Z"), ("2050-07-01 12:00", "M", "2050-07-01T10:00:00Z"),
     ]
     got = found(spark, [(v, c) for v, c, _ in cases], zones)
     for i, (v, _, want) in enumerate(cases):
@@ -37,13 +40,15 @@ def test_empty_table(spark):
     assert found(spark, [(None, None)], []) == {}
 
 
-def test_transitions_agree_with_the_zone_database():
-    tables = T.zone_transitions(["Australia/Sydney", "America/New_York"])
-    for name, table in tables["zones"].items():
+def test_transitions_agree_with_the_zone_database_over_all_time():
+    names = ["Australia/Sydney", "America/New_York", "Europe/Madrid", "Europe/Moscow", "Africa/Casablanca", "Etc/GMT+5", "Asia/Kolkata", "America/Sao_Paulo"]
+    tables = T.zone_transitions(names)
+    assert sorted(tables["zones"]) == sorted(names) and tables["version"]
+    rng = np.random.default_rng(1)
+    walls = [dt.datetime(1986, 6, 22, 12), dt.datetime(1990, 7, 8, 20), dt.datetime(2050, 7, 1, 12), dt.datetime(2051, 1, 1), dt.datetime(1900, 1, 1), dt.datetime(2437, 7, 1), dt.datetime(2837, 12, 1), dt.datetime(9990, 7, 1)]
+    walls += [dt.datetime(1850, 1, 1) + dt.timedelta(seconds=int(x)) for x in rng.integers(0, 400 * 365 * 86400, 3000)]
+    for name in names:
         z = zoneinfo.ZoneInfo(name)
-        for day in range(0, 3000, 37):
-            wall = dt.datetime(2018, 1, 1, 12) + dt.timedelta(days=day)
-            want = int(wall.replace(tzinfo=z).timestamp())
-            import numpy as np
-
-            assert T.wall_to_utc(np.array([int(wall.replace(tzinfo=dt.UTC).timestamp())]), table)[0] == want
+        want = [int((w.replace(tzinfo=z) - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)).total_seconds()) for w in walls]
+        got = T.wall_to_utc(np.array([int((w - dt.datetime(1970, 1, 1)).total_seconds()) for w in walls]), tables["zones"][name])
+        assert got.tolist() == want, name

@@ -23,7 +23,7 @@ def corpus(spark):
 
 def features(df):
     df = df.withColumn("row", F.monotonically_increasing_id()) if "row" not in df.columns else df
-    return asof.last_groups_mean(df, "player_id", "competition", ["match_date", "match_id"], "row", "passes_attempted", 2, "recent")
+    return asof.last_groups_mean(df, "player_id", "competition", "match_date", "passes_attempted", 2, "recent")
 
 
 def test_history_never_sees_the_future(spark):
@@ -32,7 +32,7 @@ def test_history_never_sees_the_future(spark):
     poisoned = df.withColumn("passes_attempted", F.when(F.col("match_id") == 1009, 9999.0).otherwise(F.col("passes_attempted")))
     assert before == {r["row"]: r["recent"] for r in features(poisoned).collect()}
     assert all(v is None for k, v in before.items() if k // 100 == 1001)
-    t = asof.expanding_mean(ratings.team_match(df), ["team"], ["match_date", "match_id"], "possession_share", "p")
+    t = asof.expanding_mean(ratings.team_match(df), ["team"], "match_date", {"p": "possession_share"})
     assert [r["p"] for r in t.filter("match_id = 1001").collect()] == [None, None]
 
 
@@ -59,15 +59,86 @@ def test_golden_values(spark):
     assert (row["fb"], row["unk"], row["none"], row["ko"], row["group"]) == ("FB", "UNK", None, "knockout", "group")
     assert abs(S.breakeven(5) - 0.5493) < 1e-4
     h = spark.createDataFrame([(1, i, v) for i, v in enumerate((10.0, 20.0, 0.0))], "k int, t int, v double")
-    last = asof.decay_mean(h, ["k"], ["t"], F.col("v"), 1.0, "d").filter("t = 2").first()["d"]
+    h = h.withColumn("t", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    last = asof.decay_mean(h, ["k"], "t", [], F.col("v"), 1.0, "d").orderBy(F.desc("t")).first()["d"]
     assert abs(last - (10 * 0.25 + 20 * 0.5) / 0.75) < 1e-9
 
 
 def test_long_histories_dont_underflow(spark):
-    h = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("t"), (F.col("id") % 7).cast("double").alias("v"))
-    got = {r["t"]: r["d"] for r in asof.decay_mean(h, ["k"], ["t"], F.col("v"), 1.0, "d").collect()}
+    h = spark.range(4000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("t"), F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    got = {r["i"]: r["d"] for r in asof.decay_mean(h, ["k"], "t", ["i"], F.col("v"), 1.0, "d").collect()}
     s = w = 0.0
     for t in range(4000):
         if t:
             assert abs(got[t] - s / w) < 1e-6
         s, w = 0.5 * (s + t % 7), 0.5 * (w + 1)
+
+
+def test_rows_of_one_instant_never_see_each_other(spark):
+    """A key with most rows, ties, NULL keys and values; histories against brute force."""
+    import random
+
+    random.seed(2)
+    base = dt.datetime(2025, 1, 1)
+    rows = [(i, random.choice([1, 1, 1, 2, None]), base + dt.timedelta(hours=7 * random.randint(0, 60)), random.choice("abc"), random.choice([None, 1.0, 2.0, 5.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "row int, k int, at timestamp_ntz, g string, v double")
+    mean = lambda x: sum(x) / len(x) if x else None
+    near = lambda a, b: a is b is None or (a is not None and b is not None and abs(a - b) < 1e-9)
+    e = {r["row"]: r["m"] for r in asof.expanding_mean(df, ["k"], "at", {"m": "v"}).collect()}
+    d = {r["row"]: r["m"] for r in asof.decay_mean(df, ["k"], "at", ["row"], F.col("v"), 3.0, "m").collect()}
+    last = {r["row"]: r["m"] for r in asof.last_groups_mean(df, "k", "g", "at", "v", 2, "m").collect()}
+    roll = {r["row"]: r["m"] for r in asof.rolling_mean(df, "k", "at", ["row"], "v", 4, "m").collect()}
+    value = {r["row"]: r["m"] for r in asof.asof_last(df, df.select("k", "at", "v"), "k", "at", "v", "m").collect()}
+    for row, k, at, _, _ in rows:
+        past = sorted((r for r in rows if r[1] == k and r[2] < at), key=lambda r: (r[2], r[0]))
+        assert near(e[row], mean([r[4] for r in past if r[4] is not None]))
+        w = [(0.5 ** ((len(past) - i) / 3.0), r[4]) for i, r in enumerate(past) if r[4] is not None]
+        assert near(d[row], sum(a * b for a, b in w) / sum(a for a, _ in w) if w else None)
+        seen = sorted({(max(r[2] for r in past if r[3] == g), g) for g in {r[3] for r in past}}, reverse=True)[:2]
+        assert near(last[row], mean([r[4] for r in past if r[3] in {g for _, g in seen} and r[4] is not None]))
+        held = [r for r in past if r[4] is not None]
+        top = max((r[2] for r in held), default=None)
+        assert near(value[row], max((r[4] for r in held if r[2] == top), default=None))
+        here = sorted((r for r in rows if r[1] == k and (r[2], r[0]) <= (at, row)), key=lambda r: (r[2], r[0]))[-4:]
+        assert near(roll[row], mean([r[4] for r in here if r[4] is not None]))
+
+
+def test_derivations_follow_the_reference_cases(spark):
+    one = spark.range(1)
+    got = lambda f, *values: [one.select(f(F.lit(v).cast("string")).alias("x")).first()["x"] for v in values]
+    assert got(S.role_bucket, "Center Back", "Center-Back", "Back (Centre)", "Left Wing Back", "Center Defensive Midfield", "Left Midfield", "Right Wing", "Goalkeeper", None) == ["CB", "CB", "CB", "FB", "DM", "CM", "W", "GK", "UNK"]
+    assert got(S.stage, "16", "1/16", "32", "Matchday 2", "3", "Group A", "Stage 1", "Semi-Final", "", None) == ["knockout", "knockout", "knockout", "knockout", "group", "group", "group", "knockout", "knockout", "knockout"]
+    assert got(S.position_name, "RB", "LB", "W", "GK", "??") == ["Right Back", "Left Back", "Winger", "Goalkeeper", "Center Midfield"]
+    groups = lambda v: tuple(one.select(*S.position_groups(F.lit(v).cast("string"))).first())
+    assert groups("Goalkeeper") == (0, 0, 0, 0) and groups("Left Back") == (1, 1, 0, 0) and groups("Center Back") == (1, 0, 0, 0)
+    assert groups("Center Defensive Midfield") == (1, 0, 1, 0) and groups("Center Attacking Midfield") == (0, 0, 1, 1) and groups("Right Wing") == (0, 1, 0, 1) and groups(None) == (0, 0, 0, 0)
+    assert got(S.fold, "  Ángel ĐỐ ", "Øst", "ΟΔΟΣ") == ["angel đo", "øst", "οδοσ"]
+    assert got(S.team_name, "Korea", "South Korea", "Côte d'Ivoire", "Ivory Coast") == ["korea republic", "korea republic", "cote d'ivoire", "cote d'ivoire"]
+
+
+def test_ratings_against_plain_loops(spark):
+    import math
+    import random
+
+    random.seed(3)
+    games = [(f"t{a}", f"t{b}", dt.datetime(2025, 1, 1) + dt.timedelta(days=i), random.randint(0, 4), random.randint(0, 4)) for i in range(80) for a, b in [random.sample(range(6), 2)]]
+    df = spark.createDataFrame(games, "home string, away string, at timestamp_ntz, home_goals int, away_goals int")
+    got = {(r["team"], r["at"]): r["rating"] for r in ratings.elo(df).collect()}
+    level: dict = {}
+    for h, a, at, x, y in games:
+        chance = 1 / (1 + 10 ** ((level.get(a, 1500) - level.get(h, 1500) - 55) / 400))
+        move = 30 * (math.log(abs(x - y) + 1) if x != y else 1.0) * ((x > y) + 0.5 * (x == y) - chance)
+        level[h], level[a] = level.get(h, 1500) + move, level.get(a, 1500) - move
+        assert abs(got[h, at] - level[h]) < 1e-6 and abs(got[a, at] - level[a]) < 1e-6
+    rows = [(h, a, float(x - y), 50.0 + 3 * (x - y)) for h, a, _, x, y in games] + [("t0", "only", 2.0, 60.0)]
+    out = {r["team"]: r for r in ratings.schedule_strength(spark.createDataFrame(rows, "team string, opponent string, margin double, possession double")).collect()}
+    teams = sorted({r[0] for r in rows} | {r[1] for r in rows})
+    rate = dict.fromkeys(teams, 0.0)
+    for _ in range(60):
+        new = {}
+        for t in teams:
+            g = [(max(-3, min(3, m)) + 0.04 * (p - 50) + rate[o]) for a, o, m, p in rows if a == t]
+            new[t] = sum(g) / len(g) if g else rate[t]
+        mean = sum(new.values()) / len(new)
+        rate = {t: v - mean for t, v in new.items()}
+    assert all(abs(out[t]["rating"] - rate[t]) < 1e-6 for t in teams) and out["only"]["games"] == 0

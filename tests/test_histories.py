@@ -45,8 +45,9 @@ def test_whole_history_counts(spark, played, monkeypatch):
 def test_running_histogram_in_small_blocks():
     x = np.random.default_rng(1).integers(0, 90, 300).astype(float)
     whole, small = histograms._State(), histograms._State()
-    a = whole.step(x, histograms.QUANTILES)
-    parts = [small.step(x[i : i + 7], histograms.QUANTILES) for i in range(0, 300, 7)]
+    at = np.arange(300)
+    a = whole.step(x, at, histograms.QUANTILES)
+    parts = [small.step(x[i : i + 7], at[i : i + 7], histograms.QUANTILES) for i in range(0, 300, 7)]
     for one, many in zip(a, zip(*parts, strict=True), strict=True):
         assert np.allclose(one, np.concatenate(many))
     for k in (3, 40, 299):
@@ -70,3 +71,20 @@ def test_calibration_takes_nine_pairs_a_row(spark, played, monkeypatch):
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], last]
     want = sorted({(p, s / n) for s, n, a, b in blocks for p in (a, b)})
     assert len(pairs) == 9 * len(list(wanted(played))) and np.allclose(got, want)
+
+
+def test_ties_and_a_key_over_many_partitions(spark):
+    """A key with most rows, several rows an instant: each row sees strictly earlier instants only, whatever the partitions."""
+    rng = np.random.default_rng(4)
+    rows = [(i, 1 if i % 4 else None, dt.datetime(2020, 1, 1) + dt.timedelta(days=int(rng.integers(0, 150))), 0, float(rng.integers(0, 30))) for i in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["row_id"]: (r["n"], r["crps"]) for r in histograms.running(frame(spark, rows), "player_id", "match_date", "row_id", "passes_attempted").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == 600
+    for i, k, at, _, y in rows:
+        x = np.array([r[4] for r in rows if r[1] == k and r[2] < at])
+        assert got[i][0] == len(x)
+        if len(x):
+            assert abs(got[i][1] - (np.abs(x - y).mean() - np.abs(x[:, None] - x).mean() / 2)) < 1e-9

@@ -2,16 +2,60 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Role buckets by ordered substrings of a position.
-ROLES = (("CB", ("center back", "centre back")), ("FB", ("back",)), ("DM", ("defensive mid", "pivot")), ("CM", ("midfield",)), ("W", ("wing",)), ("ST", ("forward", "striker")), ("GK", ("keeper",)))
+# Role buckets by words of a position, in order; a bucket needs one word of each of its groups.
+ROLES = (
+    ("CB", (("back",), ("center", "centre"))), ("FB", (("back",),)), ("DM", (("defensive midfield", "pivot"),)), ("CM", (("midfield",),)),
+    ("W", (("wing",),)), ("ST", (("forward", "striker"),)), ("GK", (("keeper",),)),
+)
 # Positions by the share of the pitch's depth.
 DEPTHS = ((0.15, "Goalkeeper"), (0.38, "Center Back"), (0.62, "Center Midfield"))
-POSITION_NAMES = {"GK": "Goalkeeper", "CB": "Center Back", "FB": "Right Back", "DM": "Center Defensive Midfield", "CM": "Center Midfield", "W": "Right Wing", "ST": "Center Forward"}
+# Position names of short labels.
+POSITION_NAMES = {
+    "GK": "Goalkeeper", "RB": "Right Back", "LB": "Left Back", "CB": "Center Back", "DM": "Center Defensive Midfield", "CM": "Center Midfield", "W": "Winger", "ST": "Center Forward",
+}
+# Payouts by number of legs; words that make a round a knockout one; leagues of international football.
 MULTIPLIERS = {2: 3.0, 3: 6.0, 4: 10.0, 5: 20.0}
+KNOCKOUT_WORDS = ("Final", "16", "32", "Quarter", "Semi", "Knockout")
+LEAGUE_WORDS = ("World Cup", "Friendl", "Qualif")
+# Team names that differ between the sources.
+TEAM_NAMES = {
+    "Cabo Verde": "Cape Verde", "South Korea": "Korea Republic", "Korea": "Korea Republic", "United States": "USA", "China PR": "China",
+    "Ivory Coast": "Cote d'Ivoire", "Czech Republic": "Czechia", "IR Iran": "Iran", "Republic of Ireland": "Ireland",
+}
+
+
+def _accents() -> tuple[str, str]:
+    """Translation by canonical decomposition: each letter with marks to its bare letter, each mark to nothing."""
+    marked, bare, marks = [], [], []
+    for o in range(0x80, 0x10000):
+        c = chr(o)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif unicodedata.decomposition(c) and not 0xD800 <= o < 0xE000:
+            rest = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+            if len(rest) == 1 and rest != c:
+                marked.append(c)
+                bare.append(rest)
+    return "".join(marked + marks), "".join(bare)
+
+
+_MARKED, _BARE = _accents()
+
+
+def fold(c: Column) -> Column:
+    """Accents off (canonical decomposition, marks dropped), lower case with one form of sigma, no outer spaces; in the JVM."""
+    return F.trim(F.translate(F.lower(F.translate(c, _MARKED, _BARE)), "ς", "σ"))
+
+
+def team_name(c: Column) -> Column:
+    """The one folded name of a team that sources name differently."""
+    table = F.create_map(*[F.lit(x) for kv in TEAM_NAMES.items() for x in kv])
+    return fold(F.coalesce(F.try_element_at(table, c), c))
 
 
 def bound(c: Column, low: float | None = None, high: float | None = None) -> Column:
@@ -25,19 +69,24 @@ def per90(passes: Column, minutes: Column) -> Column:
 
 
 def role_bucket(position: Column) -> Column:
-    """First role whose word the position has; wing-backs are full-backs; NULL and others are UNK."""
+    """First role whose words the position has, in any order; wing-backs are full-backs; NULL and others are UNK."""
     p = F.lower(position)
-    has = [(role, reduce(lambda a, b: a | b, [p.contains(w) for w in words])) for role, words in ROLES]
-    out = F.when(has[0][1], has[0][0])
-    for role, c in has[1:]:
-        out = out.when(c, role)
+    any_of = lambda words: reduce(lambda a, b: a | b, [p.contains(w) for w in words])
+    out = F
+    for role, groups in ROLES:
+        out = out.when(reduce(lambda a, b: a & b, [any_of(g) for g in groups]), role)
     return out.otherwise("UNK")
 
 
 def position_groups(position: Column) -> list[Column]:
+    """Multi-hot groups (is_def, is_wing, is_mid, is_attack): a position may be in several; NULL is in none."""
     p = F.lower(F.coalesce(position, F.lit("")))
-    words = {"def": "back|keeper", "wing": "wing", "mid": "mid|pivot", "attack": "forward|striker|wing"}
-    return [p.rlike(w).cast("int").alias(f"is_{k}") for k, w in words.items()]
+    back = p.contains("back")
+    groups = {
+        "def": back | p.contains("defensive midfield"), "wing": back & ~p.contains("center back") | p.contains("wing"), "mid": p.contains("midfield"),
+        "attack": p.contains("attacking midfield") | p.contains("wing") | p.contains("forward") | p.contains("striker"),
+    }
+    return [c.cast("int").alias(f"is_{k}") for k, c in groups.items()]
 
 
 def position_from_depth(depth: Column) -> Column:
@@ -53,16 +102,35 @@ def position_name(role: Column) -> Column:
 
 
 def stage(round_name: Column) -> Column:
-    """knockout where the round says so, or is neither a number nor a group or stage; '' is knockout, NULL is NULL."""
-    said = round_name.rlike("(?i)final|round of|knockout|play-?off|third")
-    return F.when(said | ~round_name.rlike("[0-9]|Group|Stage"), "knockout").when(round_name.isNotNull(), "group")
+    """knockout where a word of the round says so, or where it is neither a number nor a group or stage: so '' and NULL too."""
+    r = F.coalesce(round_name, F.lit(""))
+    said = reduce(lambda a, b: a | b, [r.contains(w) for w in KNOCKOUT_WORDS])
+    plain = F.trim(r).rlike("^[0-9]+$") | r.contains("Group") | r.contains("Stage")
+    return F.when(said | ~plain, "knockout").otherwise("group")
+
+
+def is_international(league: Column) -> Column:
+    n = F.coalesce(league, F.lit(""))
+    return ~n.contains("Club") & reduce(lambda a, b: a | b, [n.contains(w) for w in LEAGUE_WORDS])
+
+
+def competition_name(league: Column) -> Column:
+    """Qualifiers are told before finals, whose name they have too."""
+    return F.when(league.contains("Qualif"), "WC Qualifier").when(league.contains("World Cup"), "World Cup 2026").otherwise("Intl Friendly")
 
 
 def competition_flags(name: Column) -> list[Column]:
-    """Qualifiers are told before finals."""
     n = F.lower(F.coalesce(name, F.lit("")))
-    qualifier = n.contains("qualif")
-    return [qualifier.cast("int").alias("is_qualifier"), (n.contains("friendl") & ~qualifier).cast("int").alias("is_friendly"), (n.contains("club")).cast("int").alias("is_club")]
+    return [n.contains("qualif").cast("int").alias("is_qualifier"), n.contains("friendl").cast("int").alias("is_friendly"), n.contains("club").cast("int").alias("is_club")]
+
+
+def numeric_flag(df: DataFrame, name: str) -> Column:
+    """A 0/1 column, 0 where it is missing, unreadable or not there at all."""
+    return F.coalesce(F.col(name).cast("string").try_cast("double"), F.lit(0.0)) if name in df.columns else F.lit(0.0)
+
+
+def interval_text(mid: Column, moe: Column, low: Column, high: Column) -> Column:
+    return F.format_string("%s ± %s  [%s, %s]", mid, moe, low, high)
 
 
 def clock_minutes(c: Column) -> Column:

@@ -11,12 +11,14 @@ under the small blocks' values and returns the sums of their joint Newton step,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from touchline.models.minutes import MinutesModel, sample
 from touchline.session import cut
 
 FEATURES = ("style_per90", "team_poss_asof", "opp_allowed_asof", "team_elo", "opp_elo", "team_poss_espn", "opp_poss_espn", "is_friendly", "is_qualifier")
@@ -171,32 +173,103 @@ def fit(df: DataFrame, sweeps: int = 12) -> tuple[DataFrame, dict]:
     return levels, {"alpha": alpha, "theta": theta, "cov": cov, "names": names, "scale": scale} | {f"var_{c}": v for c, v in var.items()}
 
 
-def predict(rows: DataFrame, levels: DataFrame, fitted: dict, draws: int = 200, seed: int = 7) -> DataFrame:
+def predict(rows: DataFrame, levels: DataFrame, fitted: dict, draws: int = 200, seed: int = 7, minutes: MinutesModel | None = None) -> DataFrame:
     """``rows`` (row_id and the columns of :func:`fit` but passes_attempted) with ``samples``; a row's samples depend on its key and the seed only.
 
-    Levels that the fit hasn't seen have effect 0 (players: their prior centre) and the prior's spread.
+    With ``minutes`` the minutes are drawn too, from the player's own or by ``p_start`` (0.5 where there is none); else they are
+    those of the row. Levels that the fit hasn't seen have effect 0 (players: their prior centre) and the prior's spread.
     """
     of = lambda k: levels.filter(F.col("param") == k).select(F.col("level").alias(k), F.col("mode").alias(f"u_{k}"), F.col("sd").alias(f"s_{k}"))
+    if minutes is None:
+        rows = rows.filter("minutes is not null")
     x = design(rows.drop("passes_attempted"), fitted["names"], fitted["scale"]).join(of("player"), "player", "left").join(of("pstyle"), "pstyle", "left")
     x = x.withColumn("u_player", F.coalesce("u_player", "prior")).fillna(0.0, ["u_pstyle"])
     x = x.fillna(fitted["var_player"] ** 0.5, ["s_player"]).fillna(fitted["var_pstyle"] ** 0.5, ["s_pstyle"])
     x = x.withColumn("key", F.xxhash64(F.lit(seed), "row_id"))
+    pools = None
+    if minutes is not None:
+        chance = F.coalesce("p_start", F.lit(0.5)) if "p_start" in rows.columns else F.lit(0.5)
+        x = x.join(rows.select("row_id", chance.alias("p_start")), "row_id").join(minutes.own.withColumn("player", F.col("player_id").cast("string")).drop("player_id"), "player", "left")
+        pools = minutes._replace(own=None)
     alpha, theta, cov, sizes = fitted["alpha"], fitted["theta"], fitted["cov"], [len(fitted["names"][c]) for c in GROUPS]
     spread = {c: fitted[f"var_{c}"] if c in LEARNED else FIXED[c] ** 2 for c in GROUPS}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             z = _dense(f, sizes)
-            eta = np.log(np.maximum(f["minutes"], 1.0)) + z @ theta + f["u_player"] + f["u_pstyle"]
+            eta = (z @ theta + f["u_player"] + f["u_pstyle"]).to_numpy()
             v = ((z @ cov) * z).sum(1) + f["s_player"] ** 2 + f["s_pstyle"] ** 2 + sum((f[f"c_{c}"] < 0) * spread[c] for c in GROUPS)
-            out = []
-            for key, e, sd in zip(f["key"], eta, np.sqrt(v), strict=True):
-                rng = np.random.default_rng(key & (2**63 - 1))
-                mu = _mu(e + rng.normal(size=draws) * sd)
+            out, sd = [], np.sqrt(v).to_numpy()
+            for i, key in enumerate(f["key"].to_numpy()):
+                rng = np.random.default_rng(int(key) & (2**63 - 1))
+                e = eta[i] + rng.normal(size=draws) * sd[i]
+                m = f["minutes"].iat[i] if pools is None else sample(pools, rng, draws, f["p_start"].iat[i], f["own_values"].iat[i], f["own_counts"].iat[i])
+                mu = _mu(e + np.log(np.maximum(m, 1.0)))
                 out.append(rng.poisson(rng.gamma(alpha, mu / alpha)).astype(float))
             yield pd.DataFrame({"row_id": f["row_id"], "samples": out})
 
-    return x.filter("minutes is not null").mapInPandas(run, "row_id long, samples array<double>")
+    return x.mapInPandas(run, "row_id long, samples array<double>")
+
+
+def save(levels: DataFrame, fitted: dict, path: str) -> None:
+    """Writes a fit as two tables under ``path``, any file system that Spark knows; an earlier fit there is replaced."""
+    plain = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in fitted.items()}
+    spark = levels.sparkSession
+    levels.write.mode("overwrite").parquet(f"{path}/levels")
+    spark.createDataFrame([(json.dumps(plain),)], "fit string").coalesce(1).write.mode("overwrite").parquet(f"{path}/fit")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    fitted = json.loads(spark.read.parquet(f"{path}/fit").first()[0])
+    fitted |= {"theta": np.array(fitted["theta"]), "cov": np.array(fitted["cov"]), "scale": {k: tuple(v) for k, v in fitted["scale"].items()}}
+    return spark.read.parquet(f"{path}/levels"), fitted
+
+
+def tune(rows: DataFrame, levels: DataFrame, fitted: dict, sweeps: int = 4, span: float = 0.4, grid: int = 17, rounds: int = 3) -> tuple[dict[str, float], float, float]:
+    """(coefficients, error before, error after): coordinate search for the coefficients of FEATURES with the least absolute error.
+
+    Each coordinate is searched on a grid within ``span`` of the fitted value, which narrows ``rounds`` times; all points of a grid
+    are judged in one pass over the rows, whose sums are one number a point. The other effects stay at their modes.
+    """
+    of = lambda k: levels.filter(F.col("param") == k).select(F.col("level").alias(k), F.col("mode").alias(f"u_{k}"))
+    x = design(rows.filter("minutes > 0 and passes_attempted >= 0"), fitted["names"], fitted["scale"]).join(of("player"), "player", "left").join(of("pstyle"), "pstyle", "left")
+    x = cut(x.withColumn("u_player", F.coalesce("u_player", "prior")).fillna(0.0, ["u_pstyle"]))
+    sizes, theta = [len(fitted["names"][c]) for c in GROUPS], fitted["theta"]
+    first = len(theta) - len(FEATURES)
+
+    def errors(points: np.ndarray) -> np.ndarray:
+        """Mean absolute error of each row of ``points`` (coefficients)."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, n = np.zeros(len(points)), 0
+            for f in frames:
+                z = _dense(f, sizes)
+                eta = np.log(np.maximum(f["minutes"].to_numpy(), 1.0)) + z[:, :first] @ theta[:first] + f["u_player"].to_numpy() + f["u_pstyle"].to_numpy()
+                total += np.abs(_mu(eta[:, None] + z[:, first:] @ points.T) - f["y"].to_numpy()[:, None]).sum(0)
+                n += len(f)
+            yield pd.DataFrame({"sums": [np.r_[total, n]]})
+
+        got = np.sum([np.array(r[0]) for r in x.mapInPandas(run, "sums array<double>").collect()], 0)
+        return got[:-1] / max(got[-1], 1)
+
+    beta, start = theta[first:].copy(), theta[first:].copy()
+    initial = best = float(errors(beta[None])[0])
+    for _ in range(sweeps):
+        before = best
+        for j in range(len(beta)):
+            low, high = start[j] - span, start[j] + span
+            for _ in range(rounds):
+                values = np.linspace(low, high, grid)
+                points = np.repeat(beta[None], grid, 0)
+                points[:, j] = values
+                e = errors(points)
+                i = int(np.argmin(e))
+                if e[i] < best:
+                    best, beta[j] = float(e[i]), float(values[i])
+                low, high = values[max(i - 1, 0)], values[min(i + 1, grid - 1)]
+        if before - best < 1e-9:
+            break
+    return dict(zip(FEATURES, beta.tolist(), strict=True)), initial, best
 
 
 def summarize(samples: DataFrame, ci: float = 0.8) -> DataFrame:

@@ -27,6 +27,11 @@ def walk_forward(df: DataFrame, by: str = "competition", at: str = "match_date",
         yield Fold(r[by], r["cutoff"], df.filter(F.col(at) < F.lit(r["cutoff"])), df.filter(F.col(by) == r[by]))
 
 
+def final_holdout(df: DataFrame, by: str = "competition", at: str = "match_date", least: int = 2) -> Fold | None:
+    """The last fold; None if there is none."""
+    return next(iter(list(walk_forward(df, by, at, least))[-1:]), None)
+
+
 def assert_disjoint(train: DataFrame, test: DataFrame, keys: tuple[str, ...] = ("match_id", "player_id"), at: str = "match_date") -> None:
     """Raises on a shared key or a training row later than the first test row."""
     shared = train.select(*keys).join(test.select(*keys), list(keys), "left_semi").limit(3).collect()

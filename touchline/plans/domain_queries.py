@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from touchline.functions import scalar as S
-from touchline.models import decisions, rate
-from touchline.operators import asof, histograms, ratings, resolve, splits
+from touchline.models import decisions, minutes, rate, styles
+from touchline.operators import asof, features, histograms, ratings, resolve, splits, timestamps
+from touchline.plans import backtest
 from touchline.session import cut, read
 
 Q: dict = {}
@@ -47,6 +48,8 @@ PM = f"""pm AS (SELECT * FROM (SELECT row_id, match_id, match_date, competition,
  row_number() OVER (PARTITION BY match_id, player_id ORDER BY ingested_at DESC, row_id DESC) AS rn
  FROM combined_player_match WHERE match_id IS NOT NULL AND player_id IS NOT NULL AND player IS NOT NULL AND team IS NOT NULL) WHERE rn = 1)"""
 PER90 = "passes_attempted / CASE WHEN minutes IS NULL THEN NULL ELSE greatest(minutes, 1) END * 90"
+#: SQL frame of the rows of strictly earlier instants.
+BEFORE = "RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
 r6 = lambda c, n=6: F.round(c, n)
 
 
@@ -55,35 +58,33 @@ def keep_last_player_match(spark, d):
     return player_match(spark, d).select("row_id", "match_id", "player_id")
 
 
-@query("""SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS mean_before FROM events""")
+@query(f"""SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts {BEFORE}), 6) AS mean_before FROM events""")
 def asof_expanding_mean(spark, d):
     e = read(spark, d, "events")
-    return asof.expanding_mean(e, ["user_id"], ["ts", "event_id"], "value", "m").select("event_id", "user_id", r6("m").alias("mean_before"))
+    return asof.expanding_mean(e, ["user_id"], "ts", {"m": "value"}).select("event_id", "user_id", r6("m").alias("mean_before"))
 
 
 @query("""WITH p AS (SELECT a.event_id, b.event_type AS c, sum(b.value) AS s, count(*) AS n, max(b.ts) AS m FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts < a.ts GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY m DESC) AS k FROM p), s AS (SELECT event_id, sum(s) / sum(n) AS v FROM r WHERE k <= 2 GROUP BY event_id)
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY m DESC, c DESC) AS k FROM p), s AS (SELECT event_id, sum(s) / sum(n) AS v FROM r WHERE k <= 2 GROUP BY event_id)
 SELECT e.event_id, e.user_id, round(s.v, 6) AS recent_mean FROM events e LEFT JOIN s ON e.event_id = s.event_id""")
 def last2_group_mean(spark, d):
     e = read(spark, d, "events")
-    return asof.last_groups_mean(e, "user_id", "event_type", ["ts", "event_id"], "event_id", "value", 2, "m").select("event_id", "user_id", r6("m").alias("recent_mean"))
+    return asof.last_groups_mean(e, "user_id", "event_type", "ts", "value", 2, "m").select("event_id", "user_id", r6("m").alias("recent_mean"))
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
 g AS (SELECT *, pow(2, rn / 3.0::DOUBLE) AS g FROM n) SELECT event_id, user_id, round(sum(g * value) OVER w / sum(g) OVER w, 6) AS decayed FROM g
-WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)""")
 def decay_mean_by_style(spark, d):
     e = read(spark, d, "events")
-    return asof.decay_mean(e, ["user_id", "event_type"], ["ts", "event_id"], F.col("value"), 3.0, "m").select("event_id", "user_id", r6("m").alias("decayed"))
+    return asof.decay_mean(e, ["user_id", "event_type"], "ts", ["event_id"], F.col("value"), 3.0, "m").select("event_id", "user_id", r6("m").alias("decayed"))
 
 
 @query(f"""WITH {PM}, n AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY match_date, match_id) AS k FROM pm),
 g AS (SELECT *, pow(2, k / 5.0::DOUBLE) AS g FROM n) SELECT row_id, round(coalesce(sum(g * CASE WHEN coalesce(started, false) THEN 1.0 ELSE 0.0 END) OVER w / sum(g) OVER w, 0.5), 6) AS p_start FROM g
-WINDOW w AS (PARTITION BY player_id ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+WINDOW w AS (PARTITION BY player_id ORDER BY match_date {BEFORE})""")
 def recent_start_prob(spark, d):
-    pm = player_match(spark, d)
-    started = F.coalesce(F.col("started"), F.lit(False)).cast("double")
-    return asof.decay_mean(pm, ["player_id"], ["match_date", "match_id"], started, 5.0, "p").select("row_id", r6(F.coalesce("p", F.lit(0.5))).alias("p_start"))
+    return minutes.recent_start_prob(player_match(spark, d)).select("row_id", r6("p_start").alias("p_start"))
 
 
 TM = f"""{PM}, tm0 AS (SELECT match_id, match_date, competition, team, opponent, coalesce(sum(passes_attempted), 0) AS team_passes FROM pm
@@ -98,46 +99,28 @@ def team_match_table(spark, d):
 
 
 @query(f"""WITH {TM} SELECT match_id, team, opponent, round(avg(possession_share) OVER w, 6) AS team_poss_asof, round(avg(opp_passes_allowed) OVER w, 6) AS opp_allowed_asof FROM tm
-WINDOW w AS (PARTITION BY team ORDER BY match_date, match_id, opponent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+WINDOW w AS (PARTITION BY team ORDER BY match_date {BEFORE})""")
 def team_asof_context(spark, d):
-    t = ratings.team_match(player_match(spark, d))
-    o = ["match_date", "match_id", "opponent"]
-    t = asof.expanding_mean(asof.expanding_mean(t, ["team"], o, "possession_share", "p"), ["team"], o, "opp_passes_allowed", "a")
+    t = asof.expanding_mean(ratings.team_match(player_match(spark, d)), ["team"], "match_date", {"p": "possession_share", "a": "opp_passes_allowed"})
     return t.select("match_id", "team", "opponent", r6("p").alias("team_poss_asof"), r6("a").alias("opp_allowed_asof"))
 
 
-def _style(spark, d, pm=None):
-    t = ratings.team_match(pm or player_match(spark, d)).groupBy("team").agg(F.avg("possession_share").alias("poss"), F.avg("team_passes").alias("vol"), F.avg("opp_passes_allowed").alias("allow")).dropna()
-    stats = t.agg(*[f(c).alias(f"{n}_{c}") for c in ("poss", "vol", "allow") for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    return t.withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")
-
-
 @query(f"""WITH {TM}, p AS (SELECT team, avg(possession_share) AS poss, avg(team_passes) AS vol, avg(opp_passes_allowed) AS allow FROM tm GROUP BY team),
 q AS (SELECT * FROM p WHERE poss IS NOT NULL AND vol IS NOT NULL AND allow IS NOT NULL)
 SELECT team, round((poss - avg(poss) OVER ()) / stddev_samp(poss) OVER (), 6) AS z_poss, round((vol - avg(vol) OVER ()) / stddev_samp(vol) OVER (), 6) AS z_vol, round((allow - avg(allow) OVER ()) / stddev_samp(allow) OVER (), 6) AS z_allow FROM q""")
-def style_profile(spark, d, pm=None):
-    return _style(spark, d, pm).select("team", *[r6(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}"))).alias(f"z_{c}") for c in ("poss", "vol", "allow")])
+def style_profile(spark, d):
+    z = styles.profiles(ratings.team_match(player_match(spark, d)))
+    return z.select("team", *[r6(c).alias(c) for c in ("z_poss", "z_vol", "z_allow")])
 
 
 @query()
-def style_clusters(spark, d, pm=None):
+def style_clusters(spark, d):
     """Clusters of team styles, numbered by their centre's possession; one cluster if there are fewer teams than k."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    z = style_profile(spark, d, pm).fillna(0.0)
-    data = VectorAssembler(inputCols=["z_poss", "z_vol", "z_allow"], outputCol="features").transform(z).persist()
-    k = 4
-    if data.limit(k).count() < k:
-        return z.select("team", F.lit(0).alias("style"))
-    best = min((KMeans(k=k, seed=s).fit(data) for s in range(10)), key=lambda m: m.summary.trainingCost)
-    order = sorted(range(k), key=lambda i: tuple(best.clusterCenters()[i]))
-    rank = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])
-    return best.transform(data).select("team", rank[F.col("prediction")].alias("style"))
-
-
-ROLE = """CASE WHEN lower(position) LIKE '%center back%' OR lower(position) LIKE '%centre back%' THEN 'CB' WHEN lower(position) LIKE '%back%' THEN 'FB'
- WHEN lower(position) LIKE '%defensive mid%' OR lower(position) LIKE '%pivot%' THEN 'DM' WHEN lower(position) LIKE '%midfield%' THEN 'CM' WHEN lower(position) LIKE '%wing%' THEN 'W'
+    return styles.clusters(styles.profiles(ratings.team_match(player_match(spark, d))))
+
+
+ROLE = """CASE WHEN lower(position) LIKE '%back%' AND (lower(position) LIKE '%center%' OR lower(position) LIKE '%centre%') THEN 'CB' WHEN lower(position) LIKE '%back%' THEN 'FB'
+ WHEN lower(position) LIKE '%defensive midfield%' OR lower(position) LIKE '%pivot%' THEN 'DM' WHEN lower(position) LIKE '%midfield%' THEN 'CM' WHEN lower(position) LIKE '%wing%' THEN 'W'
  WHEN lower(position) LIKE '%forward%' OR lower(position) LIKE '%striker%' THEN 'ST' WHEN lower(position) LIKE '%keeper%' THEN 'GK' ELSE 'UNK' END"""
 
 
@@ -170,8 +153,8 @@ def robust_scale(spark, d):
     return pm.agg(*[x for n, c in cols for x in (r6(F.percentile(c, 0.5)).alias(f"med_{n}"), r6(F.avg(c)).alias(f"mean_{n}"), r6(F.stddev_samp(c)).alias(f"std_{n}"))])
 
 
-def _rated(spark, d, pm=None):
-    pm = (pm or player_match(spark, d)).filter("minutes > 0 and passes_attempted is not null")
+def _rated(spark, d):
+    pm = player_match(spark, d).filter("minutes > 0 and passes_attempted is not null")
     return pm.withColumn("per90", S.per90(F.col("passes_attempted"), F.col("minutes"))).withColumn("role", S.role_bucket(F.col("position")))
 
 
@@ -181,25 +164,19 @@ k AS (SELECT player_id, sum(s) AS s, sum(n) AS n FROM (SELECT *, row_number() OV
 ro AS (SELECT player_id, role FROM (SELECT player_id, role, row_number() OVER (PARTITION BY player_id ORDER BY count(*) DESC, role) AS rk FROM x GROUP BY player_id, role) WHERE rk = 1),
 rm AS (SELECT role, avg(per90) AS mean FROM x GROUP BY role)
 SELECT k.player_id, CAST(k.n AS BIGINT) AS n, round(k.n / (k.n + 2.0) * ln(greatest(k.s / k.n, 1) / greatest(rm.mean, 1)), 6) AS center FROM k JOIN ro USING (player_id) JOIN rm USING (role)""")
-def prior_center(spark, d, pm=None):
-    x = _rated(spark, d, pm)
-    groups = x.groupBy("player_id", "competition").agg(F.max("match_date").alias("m"), F.sum("per90").alias("s"), F.count("*").alias("n"))
-    last = groups.withColumn("rk", F.row_number().over(W.partitionBy("player_id").orderBy(F.desc("m"), F.desc("competition")))).filter("rk <= 2").groupBy("player_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    roles = x.groupBy("player_id", "role").agg(F.count("*").alias("c")).groupBy("player_id").agg(F.min_by("role", F.struct(-F.col("c"), "role")).alias("role"))
-    means = x.groupBy("role").agg(F.avg("per90").alias("mean"))
-    center = F.col("n") / (F.col("n") + 2.0) * F.ln(F.greatest(F.col("s") / F.col("n"), F.lit(1.0)) / F.greatest("mean", F.lit(1.0)))
-    return last.join(roles, "player_id").join(means, "role").select("player_id", "n", r6(center).alias("center"))
+def prior_center(spark, d):
+    return features.prior_center(_rated(spark, d)).select("player_id", "n", r6("prior").alias("center"))
 
 
 @query(f"""WITH {PM}, x AS (SELECT *, {PER90} AS per90, {ROLE} AS role FROM pm),
-h AS (SELECT row_id, role, avg(per90) OVER (PARTITION BY player_id ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own FROM x),
+h AS (SELECT row_id, role, avg(per90) OVER (PARTITION BY player_id ORDER BY match_date {BEFORE}) AS own FROM x),
 rm AS (SELECT role, avg(per90) AS mean FROM x WHERE minutes > 0 GROUP BY role) SELECT h.row_id, round(coalesce(own, mean, (SELECT median(per90) FROM x)), 6) AS anchor FROM h LEFT JOIN rm ON h.role = rm.role""")
 def anchor_fallback(spark, d):
     x = player_match(spark, d).withColumn("per90", S.per90(F.col("passes_attempted"), F.col("minutes"))).withColumn("role", S.role_bucket(F.col("position")))
-    h = asof.expanding_mean(x, ["player_id"], ["match_date", "match_id"], "per90", "own")
+    h = asof.expanding_mean(x, ["player_id"], "match_date", {"own": "per90"})
     means = x.filter("minutes > 0").groupBy("role").agg(F.avg("per90").alias("mean"))
-    med = x.agg(F.percentile("per90", 0.5).alias("med")).withColumn("one", F.lit(1))
-    out = h.join(means, "role", "left").withColumn("one", F.lit(1)).join(F.broadcast(med), "one")
+    med = x.agg(F.percentile("per90", 0.5).alias("med"))
+    out = h.join(F.broadcast(means), "role", "left").join(F.broadcast(med))  # a handful of roles; one row
     return out.select("row_id", r6(F.coalesce("own", "mean", "med")).alias("anchor"))
 
 
@@ -208,43 +185,132 @@ ESPN = f"""es AS (SELECT * FROM (SELECT row_id, competition, date, team, opponen
 
 
 def _espn(spark, d):
-    keys = ["competition", "date", "team", "opponent"]
-    return asof.keep_last(nan_null(read(spark, d, "espn_team_match")), keys, [F.col("ingested_at"), F.col("row_id")])
+    """The last delivered row of each side of a match, with its kick-off from the date as written (problem 3)."""
+    raw = nan_null(read(spark, d, "espn_team_match"))
+    at = timestamps.normalise_timestamps({"espn_team_match": (raw, "date", "competition")}, read(spark, d, "competition_zones"))
+    at = at.filter(F.col("kickoff_utc").isNotNull()).select("row_id", F.to_timestamp_ntz(F.regexp_replace("kickoff_utc", "Z$", "")).alias("at"))
+    return asof.keep_last(raw.join(at, "row_id"), ["competition", "at", "team", "opponent"], [F.col("ingested_at"), F.col("row_id")])
 
 
-def _results(spark, d):
-    e = _espn(spark, d).dropna(subset=["goals_for", "goals_against", "team", "opponent"]).filter("team < opponent")
-    return e.select(F.col("team").alias("home"), F.col("opponent").alias("away"), F.col("ingested_at").alias("at"), F.col("goals_for").alias("home_goals"), F.col("goals_against").alias("away_goals"))
+def _results(espn):
+    """One row a match; no side is at home, so there is no home advantage: ``home`` is the lesser name only to have an order."""
+    e = espn.dropna(subset=["goals_for", "goals_against", "team", "opponent"]).filter("team < opponent")
+    return e.select(F.col("team").alias("home"), F.col("opponent").alias("away"), "at", F.col("goals_for").alias("home_goals"), F.col("goals_against").alias("away_goals"), F.lit(True).alias("neutral"))
 
 
 @query()
 def elo_timeline(spark, d):
-    return ratings.elo(_results(spark, d)).select("team", "at", r6("rating").alias("rating"))
+    return ratings.elo(_results(cut(_espn(spark, d))), home=0.0).select("team", "at", r6("rating").alias("rating"))
+
+
+LIST = "list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i = h THEN r[i] + m WHEN i = a THEN r[i] - m ELSE r[i] END)"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT date_trunc('month', l_shipdate) AS dt, CAST(l_suppkey % 7 AS BIGINT) AS s, CAST(l_partkey % 7 AS BIGINT) AS p, CAST(l_orderkey % 5 AS BIGINT) AS hg, CAST((l_orderkey + l_linenumber) % 4 AS BIGINT) AS ag, l_orderkey, l_linenumber FROM lineitem),
+g0 AS (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY l_orderkey, l_linenumber, hg, ag, s, p) AS k FROM l WHERE s <> p),
+g AS (SELECT dt, s + 1 AS h, p + 1 AS a, hg, ag, row_number() OVER (ORDER BY dt) AS n FROM g0 WHERE k = 1),
+e(n, dt, h, a, r) AS (SELECT CAST(0 AS BIGINT), NULL::TIMESTAMP, CAST(0 AS BIGINT), CAST(0 AS BIGINT), list_transform(range(7), lambda i: 1500.0::DOUBLE)
+UNION ALL SELECT n, dt, h, a, {LIST} FROM (SELECT g.n, CAST(g.dt AS TIMESTAMP) AS dt, g.h, g.a, e.r, 30 * CASE WHEN g.hg = g.ag THEN 1 ELSE ln(abs(g.hg - g.ag) + 1) END * ((CASE WHEN g.hg > g.ag THEN 1 WHEN g.hg = g.ag THEN 0.5 ELSE 0 END) - 1 / (1 + pow(10, (e.r[g.a] - e.r[g.h] - 55) / 400.0))) AS m FROM e JOIN g ON g.n = e.n + 1))
+SELECT CAST(h - 1 AS BIGINT) AS team, dt AS "at", round(r[h], 4) AS rating FROM e WHERE n > 0 UNION ALL SELECT CAST(a - 1 AS BIGINT), dt, round(r[a], 4) FROM e WHERE n > 0""")
+def elo_fold(spark, d):
+    """The rating fold over one game a month between seven sides, with home advantage, draws and ties of goals."""
+    t = read(spark, d, "lineitem").select(
+        F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("at"), (F.col("l_suppkey") % 7).cast("long").alias("s"), (F.col("l_partkey") % 7).cast("long").alias("p"),
+        (F.col("l_orderkey") % 5).cast("long").alias("hg"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 4).cast("long").alias("ag"), "l_orderkey", "l_linenumber",
+    ).filter("s <> p")
+    first = t.groupBy("at").agg(F.min(F.struct("l_orderkey", "l_linenumber", "hg", "ag", "s", "p")).alias("g"))
+    games = first.select(F.col("g.s").alias("home"), F.col("g.p").alias("away"), "at", F.col("g.hg").alias("home_goals"), F.col("g.ag").alias("away_goals"))
+    return ratings.elo(games).select(F.col("team").cast("long").alias("team"), "at", F.round("rating", 4).alias("rating"))
 
 
 @query()
-def elo_asof_join(spark, d, pm=None):
-    """Ratings of both sides strictly before each match, 1500 where there is none."""
-    r = ratings.elo(_results(spark, d)).groupBy("team", "at").agg(F.max("rating").alias("rating"))
-    sides = ratings.team_match(pm or player_match(spark, d)).select("match_id", "team", "opponent", F.col("match_date").alias("at"))
-    one = asof.asof_last(sides, r, "team", "at", "rating", "team_elo")
-    two = asof.asof_last(one, r.withColumnRenamed("team", "opponent"), "opponent", "at", "rating", "opp_elo")
-    return two.select("match_id", "team", *[r6(F.coalesce(c, F.lit(1500.0))).alias(c) for c in ("team_elo", "opp_elo")])
+def elo_asof_join(spark, d):
+    """Ratings and possession of both sides strictly before each match; 1500 and NULL where there is none."""
+    espn = cut(_espn(spark, d))
+    sides = cut(ratings.team_match(player_match(spark, d)).select("match_id", "team", "opponent", "match_date"))
+    out = ratings.attach_ratings(sides, _results(espn), espn.select("team", "at", "possession"))
+    return out.select("match_id", "team", "opponent", *[r6(c).alias(c) for c in ("team_elo", "opp_elo", "team_poss_espn", "opp_poss_espn")])
 
 
-@query(f"""WITH {TM}, {ESPN}, h AS (SELECT team, ingested_at AS seen, avg(possession) OVER (PARTITION BY team ORDER BY ingested_at, row_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS p, row_id FROM es WHERE possession IS NOT NULL AND team IS NOT NULL),
-h1 AS (SELECT team, seen, arg_max(p, row_id) AS p FROM h GROUP BY team, seen)
+@query(f"""WITH {TM}, h AS (SELECT team, match_date AS seen, match_id, avg(possession_share) OVER (PARTITION BY team ORDER BY match_date, match_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS p FROM (SELECT team, match_date, match_id, max(possession_share) AS possession_share FROM tm GROUP BY ALL) WHERE possession_share IS NOT NULL),
+h1 AS (SELECT team, seen, arg_max(p, match_id) AS p FROM h GROUP BY team, seen)
 SELECT tm.match_id, tm.team, tm.opponent, round(h1.p, 6) AS poss10 FROM tm ASOF LEFT JOIN h1 ON tm.team = h1.team AND tm.match_date > h1.seen""")
-def rolling10_asof(spark, d, pm=None):
-    e = _espn(spark, d).dropna(subset=["possession", "team"])
-    h = asof.rolling_mean(e, ["team"], ["ingested_at", "row_id"], "possession", 10, "p").groupBy("team", F.col("ingested_at").alias("at")).agg(F.max_by("p", "row_id").alias("p"))
-    t = ratings.team_match(pm or player_match(spark, d)).select("match_id", "team", "opponent", F.col("match_date").alias("at"))
-    return asof.asof_last(t, h, "team", "at", "p", "x").select("match_id", "team", "opponent", r6("x").alias("poss10"))
+def rolling10_asof(spark, d):
+    t = ratings.team_match(player_match(spark, d)).select("match_id", "team", "opponent", "match_date", "possession_share")
+    h = t.groupBy("team", "match_date", "match_id").agg(F.max("possession_share").alias("share")).filter("share is not null")
+    h = asof.rolling_mean(h, "team", "match_date", ["match_id"], "share", 10, "p").groupBy("team", "match_date").agg(F.max_by("p", "match_id").alias("p"))
+    return asof.asof_last(t, h, "team", "match_date", "p", "x").select("match_id", "team", "opponent", r6("x").alias("poss10"))
+
+
+FEATURES = f"""{TM}, style AS (SELECT team, CASE WHEN avg(possession_share) >= 0.5 THEN 1 ELSE 0 END AS style FROM tm GROUP BY team HAVING avg(possession_share) IS NOT NULL),
+sides AS (SELECT s.match_id, s.team, s.p, s.a, style.style FROM (SELECT match_id, team, max(p) AS p, max(a) AS a FROM (SELECT match_id, team, avg(possession_share) OVER w AS p, avg(opp_passes_allowed) OVER w AS a FROM tm WINDOW w AS (PARTITION BY team ORDER BY match_date {BEFORE})) GROUP BY ALL) s LEFT JOIN style ON s.team = style.team),
+x AS (SELECT pm.*, {PER90} AS per90, {ROLE} AS role, own.p AS team_poss_asof, oth.a AS opp_allowed_asof, coalesce(oth.style, -1) AS opp_style FROM pm LEFT JOIN sides own ON pm.match_id = own.match_id AND pm.team = own.team LEFT JOIN sides oth ON pm.match_id = oth.match_id AND pm.opponent = oth.team),
+seen AS (SELECT a.row_id, b.competition AS c, sum(b.per90) AS s, count(b.per90) AS n, max(b.match_date) AS m FROM x a JOIN x b ON a.player_id = b.player_id AND b.match_date < a.match_date GROUP BY ALL),
+recent AS (SELECT row_id, sum(s) / nullif(sum(n), 0) AS recent_per90 FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY m DESC, c DESC NULLS LAST) AS k FROM seen) WHERE k <= 2 GROUP BY row_id),
+ages AS (SELECT row_id, player_id, opp_style, match_date, per90, pow(2, row_number() OVER (PARTITION BY player_id, opp_style ORDER BY match_date, match_id, row_id) / 4.0::DOUBLE) AS g FROM x),
+styled AS (SELECT row_id, sum(g * per90) OVER w / sum(CASE WHEN per90 IS NOT NULL THEN g END) OVER w AS style_per90 FROM ages WINDOW w AS (PARTITION BY player_id, opp_style ORDER BY match_date {BEFORE})),
+roles AS (SELECT role, avg(per90) AS mean FROM x WHERE minutes > 0 GROUP BY role),
+feats AS (SELECT x.row_id, x.role, x.opp_style, x.per90, x.team_poss_asof, x.opp_allowed_asof, r.recent_per90, st.style_per90, greatest(coalesce(r.recent_per90, roles.mean, (SELECT median(per90) FROM x)), 1) AS anchor_per90,
+ coalesce(x.is_friendly, 0) AS is_friendly, coalesce(x.is_qualifier, 0) AS is_qualifier FROM x LEFT JOIN recent r ON x.row_id = r.row_id LEFT JOIN styled st ON x.row_id = st.row_id LEFT JOIN roles ON x.role = roles.role)"""
+
+
+@query(f"""WITH {FEATURES} SELECT row_id, role, CAST(opp_style AS INT) AS opp_style, round(per90, 5) AS per90, round(team_poss_asof, 5) AS team_poss_asof, round(opp_allowed_asof, 5) AS opp_allowed_asof, round(recent_per90, 5) AS recent_per90,
+round(style_per90, 5) AS style_per90, round(anchor_per90, 5) AS anchor_per90, CAST(is_friendly AS INT) AS is_friendly, CAST(is_qualifier AS INT) AS is_qualifier FROM feats""")
+def feature_build(spark, d):
+    """The feature table under a given style map: teams with half of their matches' passes or more, and the others."""
+    pm = cut(player_match(spark, d))
+    mean = ratings.team_match(pm).groupBy("team").agg(F.avg("possession_share").alias("p")).dropna()
+    f = features.build(pm, mean.select("team", (F.col("p") >= 0.5).cast("int").alias("style")))
+    cols = ("per90", "team_poss_asof", "opp_allowed_asof", "recent_per90", "style_per90", "anchor_per90")
+    return f.select("row_id", "role", "opp_style", *[r6(c, 5).alias(c) for c in cols], F.col("is_friendly").cast("int").alias("is_friendly"), F.col("is_qualifier").cast("int").alias("is_qualifier"))
+
+
+@query()
+def feature_table(spark, d):
+    """The feature table with fitted styles, ratings and possession."""
+    return _features(spark, d)
+
+
+def _features(spark, d, pm=None):
+    pm = pm if pm is not None else cut(player_match(spark, d))
+    espn = cut(_espn(spark, d))
+    style = styles.clusters(styles.profiles(ratings.team_match(pm)))
+    return features.build(pm, style, _results(espn), espn.select("team", "at", "possession"))
+
+
+@query(f"""WITH {PM}, h AS (SELECT a.row_id, b.passes_attempted AS v, a.passes_attempted AS y FROM pm a JOIN pm b ON a.player_id = b.player_id AND b.match_date < TIMESTAMP '2025-06-01' AND b.minutes > 0 AND b.passes_attempted IS NOT NULL
+ WHERE a.match_date >= TIMESTAMP '2025-06-01' AND a.started AND a.passes_attempted IS NOT NULL),
+own AS (SELECT row_id FROM h GROUP BY row_id HAVING count(*) >= 3), t AS (SELECT *, {ROLE} AS role FROM pm WHERE match_date < TIMESTAMP '2025-06-01' AND minutes > 0 AND passes_attempted IS NOT NULL),
+q AS (SELECT row_id, {ROLE} AS role, passes_attempted AS y FROM pm WHERE match_date >= TIMESTAMP '2025-06-01' AND started AND passes_attempted IS NOT NULL),
+s AS (SELECT row_id, y, v, 'player' AS pool FROM h WHERE row_id IN (SELECT row_id FROM own) UNION ALL SELECT q.row_id, q.y, t.passes_attempted, 'role' FROM q JOIN t ON q.role = t.role WHERE q.row_id NOT IN (SELECT row_id FROM own)
+ UNION ALL SELECT q.row_id, q.y, t.passes_attempted, 'all' FROM q, t WHERE q.row_id NOT IN (SELECT row_id FROM own) AND q.role NOT IN (SELECT role FROM t)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY v) AS i, count(*) OVER (PARTITION BY row_id) AS n FROM s)
+SELECT row_id, pool, round(avg(abs(v - y)) - sum((2 * i - n - 1) * v) / max(n) / max(n), 5) AS base_crps FROM r GROUP BY row_id, pool""")
+def baseline_score(spark, d):
+    """Score of the naive forecast for the starters after a cut, from the pools before it."""
+    pm = player_match(spark, d)
+    at = F.lit("2025-06-01").cast("timestamp_ntz")
+    test = pm.filter((F.col("match_date") >= at) & F.col("started") & F.col("passes_attempted").isNotNull())
+    return backtest.baseline(pm.filter(F.col("match_date") < at), test).select("row_id", "pool", F.round("base_crps", 5).alias("base_crps"))
+
+
+@query()
+def holdout_backtest(spark, d):
+    """Scores of the last walk-forward fold: the final holdout."""
+    pm = cut(player_match(spark, d))
+    espn = cut(_espn(spark, d))
+    return backtest.run_fold(pm, splits.final_holdout(pm), _results(espn), espn.select("team", "at", "possession"))
 
 
 @query()
 def sos_ratings(spark, d):
-    return ratings.schedule_strength(_espn(spark, d)).select("team", F.round("rating", 3).alias("rating"), F.round("schedule", 3).alias("schedule"))
+    return ratings.schedule_strength(_espn(spark, d)).select("team", "games", F.round("rating", 3).alias("rating"), F.round("schedule", 3).alias("schedule"))
+
+
+@query(f"""WITH t AS (SELECT team, {_D('possession')} AS possession, {_D('team_passes')} AS team_passes, {_D('opp_passes_allowed')} AS opp_passes_allowed FROM espn_team_match)
+SELECT team, count(team_passes) AS games, round_even(avg(possession), 1) AS avg_possession, round_even(avg(team_passes), 1) AS avg_passes, round_even(avg(opp_passes_allowed), 1) AS avg_allowed FROM t GROUP BY team""")
+def team_profiles(spark, d):
+    return ratings.team_profiles(nan_null(read(spark, d, "espn_team_match")))
 
 
 @query(f"""WITH {PM}, f AS (SELECT competition, min(match_date) AS cutoff FROM pm GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY cutoff, competition) - 1 AS fold FROM f)
@@ -268,10 +334,15 @@ def last_lineup(spark, d):
     return s.join(last, ["team", "match_id"]).select("team", "match_id", "player_id").distinct()
 
 
-@query("""WITH old AS (SELECT DISTINCT match_id FROM combined_player_match WHERE provider = 'fotmob') SELECT row_id FROM fotmob_wc2026 f WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.match_id = f.match_id + 70000000)""")
+@query("""WITH old AS (SELECT DISTINCT match_id FROM combined_player_match WHERE provider = 'statsbomb') SELECT row_id FROM sb_player_match f WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.match_id = f.match_id)
+UNION ALL SELECT row_id + 1000000000 FROM sb_player_match f WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT match_id FROM combined_player_match WHERE provider = 'statsbomb' AND match_date < TIMESTAMP '2025-01-01') o WHERE o.match_id = f.match_id)""")
 def incremental_anti(spark, d):
-    old = read(spark, d, "combined_player_match").filter("provider = 'fotmob'").select((F.col("match_id") - 70_000_000).alias("match_id")).distinct()
-    return read(spark, d, "fotmob_wc2026").join(old, "match_id", "left_anti").select("row_id")
+    """Rows of matches that aren't built yet: against all that is built, and against what was built by a date."""
+    from touchline.sources.readers import unseen
+
+    built, new = read(spark, d, "combined_player_match").filter("provider = 'statsbomb'"), read(spark, d, "sb_player_match")
+    early = unseen(new, built.filter(F.col("match_date") < F.lit("2025-01-01").cast("timestamp_ntz"))).select((F.col("row_id") + 1_000_000_000).alias("row_id"))
+    return unseen(new, built).select("row_id").unionByName(early)
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus <> 'F'),
@@ -293,9 +364,13 @@ def union_missing_columns(spark, d):
     return a.unionByName(b, allowMissingColumns=True).select("src", "row_id", "minutes_known", "feed", "season")
 
 
-_MARKS = "àáâãäåāăąắấầậèéêëēĕėęěếềệìíîïĩīĭįıòóôõöøōŏőốồộùúûüũūŭůűųứừựçćĉċčñńņňšśŝşžźżřŕťţďđðłľĺýÿğģķ"
-_PLAIN = "aaaaaaaaaaaaaeeeeeeeeeeeeiiiiiiiiiooooooooooooouuuuuuuuuuuuuccccccnnnnsssszzzrrttdddlllyyggk"
-_FOLD = lambda c: f"translate(lower(trim({c})), '{_MARKS}', '{_PLAIN}')"
+_FOLD = lambda c: f"trim(lower(strip_accents({c})))"
+
+
+@query(f"""SELECT doc_id, {_FOLD('text')} AS folded FROM documents WHERE lang IN ('en', 'es', 'fr', 'de', 'pt', 'cs', 'pl', 'sv', 'tr')""")
+def accent_fold(spark, d):
+    t = read(spark, d, "documents").filter(F.col("lang").isin("en", "es", "fr", "de", "pt", "cs", "pl", "sv", "tr"))
+    return t.select("doc_id", S.fold(F.col("text")).alias("folded"))
 
 
 @query(f"""WITH k AS (SELECT DISTINCT player_id, {_FOLD('team')} AS team, {_FOLD('player')} AS name FROM combined_player_match WHERE provider = 'statsbomb' AND player IS NOT NULL AND team IS NOT NULL),
@@ -354,21 +429,22 @@ def _played(spark, d):
 
 
 def _history(spark, d):
-    """Rows with at least 3 earlier ones, the mean of all of these and their share at or above 30."""
-    w = W.partitionBy("player_id").orderBy("match_date", "match_id").rowsBetween(W.unboundedPreceding, -1)
-    over = (F.col("passes_attempted") >= 30).cast("double")
-    x = _played(spark, d).withColumn("y", over)
-    return x.select("*", F.count("*").over(w).alias("n"), F.avg("passes_attempted").over(w).alias("mean"), F.avg("y").over(w).alias("p")).filter("n >= 3")
+    """Rows with at least 3 strictly earlier ones, the mean of all of these and their share at or above 30."""
+    x = _played(spark, d).withColumn("y", (F.col("passes_attempted") >= 30).cast("double"))
+    found = asof.before(x, x, ["player_id"], "match_date", {"n": F.lit(1), "s": F.col("passes_attempted"), "o": F.col("y")})
+    found = found.select("player_id", "match_date", "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("o") / F.col("n")).alias("p"))
+    return asof.attach(x, found, ["player_id", "match_date"]).filter("n >= 3")
 
 
-HIST = f"""{PM}, o AS (SELECT player_id, row_id, passes_attempted AS y, row_number() OVER (PARTITION BY player_id ORDER BY match_date, match_id) AS k FROM pm WHERE passes_attempted IS NOT NULL),
-hs AS (SELECT a.row_id, a.y, b.y AS x FROM o a JOIN o b ON a.player_id = b.player_id AND b.k BETWEEN a.k - 20 AND a.k - 1 WHERE a.k >= 4)"""
+#: A player's whole earlier history, as the operators take it.
+HIST = f"""{PM}, o AS (SELECT player_id, row_id, passes_attempted AS y, match_date FROM pm WHERE passes_attempted IS NOT NULL),
+hs0 AS (SELECT a.row_id, a.y, b.y AS x, count(*) OVER (PARTITION BY a.row_id) AS earlier FROM o a JOIN o b ON a.player_id = b.player_id AND b.match_date < a.match_date), hs AS (SELECT row_id, y, x FROM hs0 WHERE earlier >= 3)"""
 
 
 @query(f"""WITH {HIST}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY x) AS i, count(*) OVER (PARTITION BY row_id) AS n FROM hs)
 SELECT row_id, round(avg(abs(x - y)) - sum((2 * i - n - 1) * x) / max(n) / max(n), 6) AS crps FROM r GROUP BY row_id""")
 def crps_empirical(spark, d):
-    h = histograms.running(_played(spark, d), "player_id", ["match_date", "match_id"], "row_id", "passes_attempted")
+    h = histograms.running(_played(spark, d), "player_id", "match_date", "row_id", "passes_attempted")
     return h.filter("n >= 3").select("row_id", r6("crps").alias("crps"))
 
 
@@ -393,7 +469,7 @@ def reliability_bins(spark, d):
 @query()
 def isotonic_fit(spark, d):
     """Calibration over nine pairs a row: the share of earlier values above each of their quantiles, and whether the row's own is."""
-    h = histograms.running(_played(spark, d), "player_id", ["match_date", "match_id"], "row_id", "passes_attempted", histograms.QUANTILES)
+    h = histograms.running(_played(spark, d), "player_id", "match_date", "row_id", "passes_attempted", histograms.QUANTILES)
     pairs = h.filter("n >= 3").select(F.explode(F.arrays_zip("p", "y")).alias("a")).select("a.p", "a.y")
     # equal p are pooled by the fit: their mean with their number as weight is the same fit
     return decisions.isotonic(pairs.groupBy("p").agg(F.avg("y").alias("y"), F.count("*").alias("n")), "p", "y", "n")
@@ -417,17 +493,29 @@ def grade_picks(spark, d):
     return decisions.grade(_edges(spark, d)).select("plays", "hits", r6("hit_rate").alias("hit_rate"), r6("roi").alias("roi"))
 
 
+def _picks(spark, d):
+    teams = player_match(spark, d).select("row_id", "team", F.date_format("match_date", "yyyy-MM-dd").alias("slate"))
+    return _edges(spark, d).join(teams, "row_id").select("slate", "row_id", "player_id", "team", "pick", F.col("p_pick").alias("p_hit"), (F.col("p_pick") - 0.5).alias("confidence"))
+
+
 @query()
 def greedy_parlays(spark, d):
-    teams = player_match(spark, d).select("row_id", "team", F.date_format("match_date", "yyyy-MM-dd").alias("slate"))
-    picks = _edges(spark, d).join(teams, "row_id").withColumn("confidence", F.col("p_pick") - 0.5)
-    return decisions.greedy_parlays(picks.select("slate", "row_id", "player_id", "team", "pick", "confidence"), 3, 3)
+    return decisions.greedy_parlays(_picks(spark, d), 3, 3)
 
 
-@query(f"""WITH {EDGE}, r AS (SELECT row_id, p_pick FROM e) SELECT CAST(row_id % 1000 AS BIGINT) AS parlay, count(*) AS legs, round(exp(sum(ln(greatest(p_pick, 1e-9)))) * pow(1.8, count(*)) - 1, 5) AS ev FROM r GROUP BY 1""")
+@query()
 def parlay_ev(spark, d):
-    e = _edges(spark, d).groupBy((F.col("row_id") % 1000).alias("parlay"))
-    return e.agg(F.count("*").alias("legs"), F.round(F.exp(F.sum(F.ln(F.greatest("p_pick", F.lit(1e-9))))) * F.pow(F.lit(1.8), F.count("*")) - 1, 5).alias("ev"))
+    """Value of the built three-leg parlays."""
+    picks = cut(_picks(spark, d))
+    return decisions.parlay_ev(decisions.greedy_parlays(picks, 3, 3), picks).select("slate", "parlay", "legs", r6("p_all").alias("p_all"), F.round("ev", 5).alias("ev"))
+
+
+@query(f"""WITH {EDGE}, h AS (SELECT player_id, avg(passes_attempted) AS hist FROM pm WHERE minutes >= 70 GROUP BY player_id), c AS (SELECT e.row_id, e.p_over, h.hist, h.hist IS NULL AS is_new FROM e JOIN pm ON e.row_id = pm.row_id LEFT JOIN h ON pm.player_id = h.player_id)
+SELECT row_id, CASE WHEN p_over >= 0.5 THEN 'OVER' ELSE 'UNDER' END AS pick, round(greatest(p_over, 1 - p_over), 6) AS p_hit, hist IS NULL OR ((hist > 29.5) = (p_over >= 0.5)) AS agree,
+round(CASE WHEN hist IS NULL OR ((hist > 29.5) = (p_over >= 0.5)) THEN abs(p_over - 0.5) * CASE WHEN is_new THEN 0.25 ELSE 1 END ELSE 0 END, 6) AS confidence FROM c""")
+def confidence_score(spark, d):
+    props = _edges(spark, d).join(decisions.history(player_match(spark, d)), "player_id", "left").withColumn("is_new", F.col("hist").isNull())
+    return decisions.score(props).select("row_id", "pick", r6("p_hit").alias("p_hit"), "agree", r6("confidence").alias("confidence"))
 
 
 @query(f"""WITH {PM}, x AS (SELECT *, {ROLE} AS role FROM pm WHERE passes_attempted IS NOT NULL), o AS (SELECT player_id, count(*) AS n, avg(passes_attempted) AS m FROM x GROUP BY 1), r AS (SELECT role, avg(passes_attempted) AS m FROM x GROUP BY 1)
@@ -449,27 +537,9 @@ def grading_slices(spark, d):
 
 
 def _modelled(spark, d):
-    """Rated rows with all that the rate model takes: opponent's style, as-of covariates of both sides, flags, prior centre."""
-    keep = ["row_id", "match_id", "match_date", "competition", "provider", "team", "opponent", "player_id", "position", "minutes", "passes_attempted", "is_friendly", "is_qualifier"]
-    pm = player_match(spark, d).select(*keep).persist()
-    x = pm.withColumn("per90", S.per90(F.col("passes_attempted"), F.col("minutes"))).withColumn("role", S.role_bucket(F.col("position")))
-    t, o = ratings.team_match(pm), ["match_date", "match_id", "opponent"]
-    t = asof.expanding_mean(asof.expanding_mean(t, ["team"], o, "possession_share", "p"), ["team"], o, "opp_passes_allowed", "a")
-    # one row a side of a match
-    one = lambda df, *cs: df.groupBy("match_id", "team").agg(*[F.max(c).alias(c) for c in cs])
-    sides = one(t, "p", "a").join(one(elo_asof_join(spark, d, pm), "team_elo", "opp_elo"), ["match_id", "team"], "left").join(one(rolling10_asof(spark, d, pm), "poss10"), ["match_id", "team"], "left")
-    sides = cut(sides)
-    own = sides.select("match_id", "team", F.col("p").alias("team_poss_asof"), "team_elo", "opp_elo", F.col("poss10").alias("team_poss_espn"))
-    other = sides.select("match_id", F.col("team").alias("opponent"), F.col("a").alias("opp_allowed_asof"), F.col("poss10").alias("opp_poss_espn"))
-    style = style_clusters(spark, d, pm).select(F.col("team").alias("opponent"), F.col("style").alias("opp_style"))
-    x = x.join(own, ["match_id", "team"], "left").join(other, ["match_id", "opponent"], "left").join(style, "opponent", "left")
-    x = x.withColumn("opp_style", F.coalesce("opp_style", F.lit(-1)))
-    x = asof.decay_mean(x, ["player_id", "opp_style"], ["match_date", "match_id"], F.col("per90"), 4.0, "style_per90")
-    x = x.filter("minutes > 0 and passes_attempted is not null").join(prior_center(spark, d, pm).select("player_id", F.col("center").alias("prior")), "player_id", "left")
-    flags = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("is_friendly", "is_qualifier")]
-    rows = rate.by_player(x.select("row_id", *rate.GROUPS, "player_id", "opp_style", "prior", "minutes", "passes_attempted", *[c for c in rate.FEATURES if not c.startswith("is_")], *flags))
-    pm.unpersist()
-    return rows
+    """Rated rows with all that the rate model takes."""
+    train = backtest.labelled(cut(_features(spark, d)))
+    return rate.by_player(backtest.modelled(train, train).select(*backtest.KEEP))
 
 
 @query()
@@ -502,3 +572,21 @@ def box_scores(spark, d):
     from touchline.sources import readers
 
     return readers.box_scores(read(spark, d, "summary"))
+
+
+@query()
+def tuned_coefficients(spark, d):
+    """Coefficients of the rate model by least absolute error over starters of an hour or more, beside the fitted ones."""
+    x = _modelled(spark, d)
+    levels, fitted = rate.fit(x)
+    beta, before, after = rate.tune(x.filter("minutes >= 60"), levels, fitted, sweeps=1, rounds=2)
+    mode = levels.filter("param = 'beta'").select(F.col("level").alias("feature"), F.round("mode", 4).alias("fitted"))
+    tuned = spark.createDataFrame([(k, float(v), float(before), float(after)) for k, v in beta.items()], "feature string, tuned double, mae_fitted double, mae_tuned double")
+    return mode.join(tuned, "feature")
+
+
+@query("""SELECT team FROM espn_team_match WHERE team IS NOT NULL UNION SELECT opponent FROM espn_team_match WHERE opponent IS NOT NULL""")
+def all_teams(spark, d):
+    """Distinct teams of both columns."""
+    t = read(spark, d, "espn_team_match")
+    return t.select("team").union(t.select("opponent")).distinct().dropna()

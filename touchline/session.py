@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoints whose plan is gone are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,13 +30,22 @@ def session(app: str = "touchline", master: str | None = None, **conf: str) -> S
     return b.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir``, else one of our own (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir``; in local mode an own one where it is unset (tests).
+
+    On a cluster without the setting there is no folder that all machines share, so this raises rather than guess one.
+    """
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), "touchline-checkpoints")
     spark.sparkContext.setCheckpointDir(where)
     return where

@@ -12,6 +12,8 @@ from touchline.llm import confusables as C
         ("Año", "Año"), ("A‍na  Pe­rez", "Ana Perez"), ("Κοnrad", "Konrad"), ("Иван Петрoв", "Иван Петров"), ("Иван Петров", "Иван Петров"),
         ("ﾊﾟｽ･ｶ", "パス・カ"), ("O’Neil", "O'Neil"), ("Al‑Said", "Al-Said"), ("ﬁn ĳs", "fin ijs"), ("Kurt", "Kurt"), ("Carlo ムシミ", "Carlo ムシミ"),
         ("PEREZ, Ana", "PEREZ, Ana"), ("Соса Nadal", "Coca Nadal"),
+        ("Mօna Perez", "Mona Perez"), ("Ꭺna Perez", "Ana Perez"), ("Anа Pօrez", "Ana Porez"), ("ѕօр", "ѕор"), ("Հայկ", "Հայկ"), ("Հայկ Perez", "Հայկ Perez"),
+        ("½ Ana²", "½ Ana²"), ("東京 タワー の", "東京 タワー の"),
     ],
 )
 def test_consistent(given, want):

@@ -25,6 +25,8 @@ CYRILLIC_LATIN = dict(zip("АВЕЅІЈКМНОРСТХҮЗаесіјѕорху
 GREEK_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιρυκϲϳ", "ABEZHIKMNOPTYXovaipukcj", strict=True))
 CYRILLIC_LATIN["У"] = "Y"
 CYRILLIC_LATIN = {k: v for k, v in CYRILLIC_LATIN.items() if v.isascii() and v.isalpha()}
+ARMENIAN_LATIN = dict(zip("օսհոցյքՕՍՏԼ", "ouhngjpOUSL", strict=True))
+CHEROKEE_LATIN = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPSTVWZ", strict=True))
 GREEK_CYRILLIC = dict(zip("ΑΒΕΗΙΚΜΟΡΤΧο", "АВЕНІКМОРТХо", strict=True))
 # Letters that only look alike in capitals or small type, used if the chosen script has nothing closer.
 LATIN_CYRILLIC_EXTRA = {"Y": "У", "k": "к", "3": "З"}
@@ -85,6 +87,11 @@ def _pairs() -> dict[str, dict[str, str]]:
     for g, latin in GREEK_LATIN.items():
         if latin in to["CYRILLIC"]:
             to["CYRILLIC"].setdefault(g, to["CYRILLIC"][latin])
+    for c, latin in (ARMENIAN_LATIN | CHEROKEE_LATIN).items():
+        to["LATIN"][c] = latin
+        for script in ("CYRILLIC", "GREEK"):
+            if latin in to[script]:
+                to[script].setdefault(c, to[script][latin])
     to["CYRILLIC"] = LATIN_CYRILLIC_EXTRA | to["CYRILLIC"]
     to["GREEK"] = LATIN_GREEK_EXTRA | to["GREEK"]
     return to
@@ -108,14 +115,27 @@ def _respell(token: str, script: str) -> str:
     return "".join(table.get(ch, ch) if script_set(ch) is not ALL and script not in script_set(ch) else ch for ch in token)
 
 
+#: Compatibility forms that are no way of writing a letter: they stay.
+_KEPT_FORMS = ("<fraction>", "<super>", "<sub>", "<circle>", "<square>", "<vertical>")
+
+
+@lru_cache(maxsize=70_000)
+def _ordinary(ch: str) -> str:
+    """A character of ordinary width and without ligature."""
+    form = unicodedata.decomposition(ch)
+    return ch if not form.startswith("<") or form.startswith(_KEPT_FORMS) else unicodedata.normalize("NFKC", ch)
+
+
 def consistent(text: str | None) -> str | None:
     """The one consistent form of a name."""
     if text is None:
         return None
-    t = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).translate(_FOLD)
+    t = unicodedata.normalize("NFC", "".join(map(_ordinary, _INVISIBLE.sub("", text)))).translate(_FOLD)
     t = _SPACES.sub(" ", _INVISIBLE.sub("", t)).strip(" ")
+    if intersect(t):  # one script, or one writing system, throughout
+        return t
     letters = {s for ch in t for s in script_set(ch) if s != "*"} & LOOKALIKES.keys()
-    if len(letters) < 2:
+    if not letters:
         return t
     # the script of the name: that which leaves fewest letters without counterpart, then changes fewest
     known = "".join(ch for ch in t if script_set(ch) & LOOKALIKES.keys())
@@ -130,7 +150,7 @@ def consistent(text: str | None) -> str | None:
             best = home if _cost(w, home)[0] == 0 else min(sorted(letters), key=lambda s: _cost(w, s))
             return _respell(w, best)
         # whole-script confusable
-        return _respell(w, home) if scripts & LOOKALIKES.keys() and _cost(w, home)[0] == 0 else w
+        return _respell(w, home) if _cost(w, home)[0] == 0 else w
 
     return unicodedata.normalize("NFC", _TOKEN.sub(token, t))
 

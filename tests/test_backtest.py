@@ -30,7 +30,7 @@ def test_a_fold_is_scored_against_the_naive_forecast(spark, corpus):
     fold = splits.final_holdout(corpus)
     assert fold.name == "Cup 2"
     r = backtest.run_fold(corpus, fold, lines=lines, draws=100, sweeps=6).first()
-    assert r["n_test"] == 6 * 6 * 8 and 0 < r["crps"] < 1.2 * r["base_crps"] and 0.6 < r["coverage"] <= 1 and r["mae"] > 0
+    assert r["n_test"] == 6 * 6 * 8 and 0 < r["crps"] < 2 * r["base_crps"] and 0.6 < r["coverage"] <= 1 and r["mae"] > 0
     assert abs(r["skill"] - 100 * (1 - r["crps"] / r["base_crps"])) < 1e-9
     assert r["bet_n_plays"] == 6 * 6 * 3 and r["warn"] is None and 0 <= r["bet_hit_rate"] <= 1 and r["log_loss"] > 0
 

@@ -143,18 +143,19 @@ def parsed(raw: DataFrame) -> DataFrame:
     return raw.filter(F.ltrim("payload").startswith("{")).select("raw_id", F.try_parse_json("payload").alias("doc"))
 
 
-def _statistics(members_: Column) -> Column:
+def _statistics(members_: Column, slim: bool) -> Column:
     """The members of a group's statistics with their states: leaves first, then the measure, then the statistic.
 
-    One pass a level, so that each state is found once however many rules look at it.
+    One pass a level, so that each state is found once however many rules look at it; ``slim`` leaves the nodes themselves behind.
     """
+    none = F.lit(None).cast("variant")
     read = lambda e: F.struct(
         e["key"].alias("label"), e["value"].alias("node"), get(e["value"], "$.stat").alias("inner"),
         get(e["value"], "$.stat.value").alias("value"), get(e["value"], "$.stat.total").alias("total"),
     )
     # a node that has a member is an object
     leaves = lambda s: F.struct(
-        s["label"].alias("label"), s["node"].alias("node"), _leaf_kind(s["value"]).alias("value"), _leaf_kind(s["total"]).alias("total"),
+        s["label"].alias("label"), (none if slim else s["node"]).alias("node"), _leaf_kind(s["value"]).alias("value"), _leaf_kind(s["total"]).alias("total"),
         F.when(s["value"].isNotNull(), "object").otherwise(kind(s["inner"])).alias("inner"), F.when(s["inner"].isNotNull(), "object").otherwise(kind(s["node"])).alias("kind"),
     )
     states = lambda s: F.struct(s["label"].alias("label"), s["node"].alias("node"), s["inner"].alias("inner"), s["kind"].alias("kind"), state("leaf", kind=s["value"]).alias("value"), state("leaf", kind=s["total"]).alias("total"))
@@ -166,7 +167,7 @@ def _statistics(members_: Column) -> Column:
     return out
 
 
-def _players(raw: DataFrame) -> DataFrame:
+def _players(raw: DataFrame, slim: bool = False) -> DataFrame:
     """One row a key of ``playerStats`` with its tree read from the leaves up: ``groups`` have ``stats``, each with its state."""
     held = parsed(raw).select("raw_id", F.explode(members(get(F.col("doc"), "$.content.playerStats"))).alias("e"))
     held = held.select("raw_id", F.col("e.key").alias("player_key"), F.col("e.value").alias("node"))
@@ -176,7 +177,7 @@ def _players(raw: DataFrame) -> DataFrame:
     opened = lambda g: F.struct(g["node"].alias("node"), g["inner"].alias("inner"), members(g["inner"]).alias("members"))
     filled = lambda g: F.struct(
         g["node"].alias("node"), F.when(g["inner"].isNotNull(), "object").otherwise(kind(g["node"])).alias("kind"),
-        F.when(g["members"].isNotNull(), "object").otherwise(kind(g["inner"])).alias("container"), _statistics(F.coalesce(g["members"], none)).alias("stats"),
+        F.when(g["members"].isNotNull(), "object").otherwise(kind(g["inner"])).alias("container"), _statistics(F.coalesce(g["members"], none), slim).alias("stats"),
     )
     children = lambda g: F.struct(g["node"].alias("node"), g["stats"].alias("stats"), g["kind"].alias("kind"), g["container"].alias("container"), F.array_distinct(F.transform(g["stats"], lambda s: s["state"])).alias("states"))
     judged = lambda g: F.struct(g["node"].alias("node"), g["stats"].alias("stats"), state("group", kind=g["kind"], container=g["container"], children=g["states"]).alias("state"))
@@ -202,8 +203,8 @@ def records(raw: DataFrame) -> DataFrame:
     return every.select("raw_id", state("record", children=F.col("states")).alias("variant"), F.coalesce("players", F.lit(0)).alias("players"))
 
 
-def _groups(raw: DataFrame) -> DataFrame:
-    return _players(raw).select("raw_id", "player_key", F.posexplode("groups").alias("group_pos", "g"))
+def _groups(raw: DataFrame, slim: bool = False) -> DataFrame:
+    return _players(raw, slim).select("raw_id", "player_key", F.posexplode("groups").alias("group_pos", "g"))
 
 
 def groups(raw: DataFrame) -> DataFrame:
@@ -212,10 +213,10 @@ def groups(raw: DataFrame) -> DataFrame:
     return _groups(raw).select("raw_id", "player_key", "group_pos", F.col("g.state").alias("variant"), get(node, "$.title", "string").alias("title"), get(node, "$.key", "string").alias("group_key"))
 
 
-def statistics(raw: DataFrame) -> DataFrame:
-    """All statistics of players in all states, null ones too, linked by (raw_id, player_key, group_pos)."""
+def statistics(raw: DataFrame, slim: bool = False) -> DataFrame:
+    """All statistics of players in all states, null ones too, linked by (raw_id, player_key, group_pos); ``slim``: keys and variant only."""
     node = F.col("s.node")
-    return _groups(raw).select("raw_id", "player_key", "group_pos", F.explode("g.stats").alias("s")).select(
+    return _groups(raw, slim).select("raw_id", "player_key", "group_pos", F.explode("g.stats").alias("s")).select(
         "raw_id", "player_key", "group_pos", F.col("s.label").alias("label"), F.col("s.state").alias("variant"), get(node, "$.key", "string").alias("stat_key"),
         get(node, "$.stat.value", "double").alias("value"), get(node, "$.stat.total", "double").alias("total"),
         get(node, "$.stat.type", "string").alias("stat_type"), get(node, "$.hideInPopup", "boolean").alias("hidden"),
@@ -283,7 +284,7 @@ def union_of_subtypes(raw: DataFrame, node: str) -> DataFrame:
 
     A node is routed to the one table whose variant is its state; without a table it goes nowhere.
     """
-    t = SUPERTYPES[node](raw)
+    t = statistics(raw, slim=True) if node == "statistic" else SUPERTYPES[node](raw)
     row = lambda v: F.struct(*KEYS[node], F.lit(v).alias("subtype"))
     routed = F.array_compact(F.array(*[F.when(F.col("variant") == v, row(v)) for v in SUBTYPES[node]]))
     return t.select(F.inline(routed))

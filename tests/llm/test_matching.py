@@ -40,3 +40,22 @@ def test_people(spark):
     got = {(r["player_id_a"], r["player_id_b"]) for r in M.match_people(t).filter("matched").collect()}
     assert got == {(10 + i, 900 + i) for i in range(5)}
     assert M.match_people(t.limit(0)).count() == 0
+
+
+def test_names_of_very_short_words(spark):
+    rows = [("statsbomb", 1, "Li Oh", "Aland"), ("fotmob", 901, "Li Oh", "Aland"), ("statsbomb", 2, "Wu", "Aland"), ("fotmob", 902, "Wu", "Aland"), ("statsbomb", 3, "Lee Yu", "Aland"), ("fotmob", 903, "Yu Lee", "Aland"), ("fotmob", 904, "Bo Ek", "Aland"), ("statsbomb", 5, "李", "Aland"), ("fotmob", 905, "李", "Aland")]
+    rows = [(*r, dt.datetime(2025, 1, 1 + m, 18), 90.0) for r in rows for m in range(3)]
+    t = spark.createDataFrame(rows, "p string, player_id long, player string, team string, match_date timestamp_ntz, minutes double").withColumnRenamed("p", "provider")
+    got = {(r["player_id_a"], r["player_id_b"]) for r in M.match_people(t).filter("matched").collect()}
+    assert got == {(1, 901), (2, 902), (3, 903), (5, 905)}
+    renamed = t.replace({"statsbomb": "x", "fotmob": "y"}, subset=["provider"])
+    assert {(r["player_id_a"], r["player_id_b"]) for r in M.match_people(renamed, "x", "y").filter("matched").collect()} == got
+
+
+def test_each_close_pair_once(spark):
+    random.seed(6)
+    schema = "id long, block string, v long"
+    x = spark.createDataFrame([(i, "k", random.getrandbits(8)) for i in range(40)], schema)
+    got = [(r["a"], r["b"]) for r in M.close_in_blocks(x, x, "block").collect()]
+    v = {r["id"]: r["v"] for r in x.collect()}
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in v for b in v if (v[a] ^ v[b]).bit_count() <= M.RADIUS}

@@ -28,6 +28,8 @@ BITS, RADIUS = 64, 6
 #: Weights of the fields in the raw score, and what a match in which only one of the two appears, or both, is worth.
 NAME_WEIGHT, APPEARANCE_WEIGHT = 0.7, 0.3
 BOTH, ONE, CLASH, THRESHOLD, BIN = 1.6, -1.1, -2.0, 0.5, 0.05
+#: Letters of a word that is searched by itself; names of up to so many letters are searched whole too; least name score of a candidate.
+WORD, SHORT_NAME, LEAST = 3, 7, 0.4
 
 # Transliterations and particles of names.
 CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґјљњћџѕ", "a b v g d e e zh z i j k l m n o p r s t u f h c ch sh sch  y  e yu ya i i e g j lj nj c dz s".split(" "), strict=True))
@@ -170,17 +172,48 @@ def slices(df: DataFrame, v: str) -> DataFrame:
 
 def close_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     """(a, b): ids with vectors ``v`` within the radius, in the same ``block``. Every such pair once."""
+    return close_in_blocks(left, right, block).select("a", "b").distinct()
+
+
+def close_in_blocks(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+    """(block, a, b), each pair once: it comes out of the first of the slices in which the two agree."""
     x = slices(left.select(F.col("id").alias("a"), block, F.col("v").alias("va")), "va")
     y = slices(right.select(F.col("id").alias("b"), block, F.col("v").alias("vb")), "vb")
-    near = F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= RADIUS
+    apart = F.col("va").bitwiseXOR(F.col("vb"))
+    width = -(-BITS // (RADIUS + 1))
+    first = F.lit(RADIUS)
+    for i in range(RADIUS - 1, -1, -1):
+        first = F.when(F.expr(f"shiftrightunsigned(va ^ vb, {i * width}) & {(1 << width) - 1}L") == 0, i).otherwise(first)
     # narrow rows, much work a byte: a number of partitions that isn't merged again
     x = x.repartition(4 * left.sparkSession.sparkContext.defaultParallelism, block, "slice", "part")
-    return x.join(y, [block, "slice", "part"]).filter(near).select("a", "b").distinct()
+    return x.join(y, [block, "slice", "part"]).filter((F.bit_count(apart) <= RADIUS) & (F.col("slice") == first)).select(block, "a", "b")
+
+
+def search_words(forms: DataFrame) -> DataFrame:
+    """(provider, id, key, word): what of each way an id is written is searched, once.
+
+    Words of three letters or more; the whole name, its words in order of the alphabet and without spaces, where it has none or is
+    short, so that names of very short words are found like any other.
+    """
+    whole = F.array_join(F.array_sort("words"), "")
+    long = F.filter("words", lambda w: F.length(w) >= WORD)
+    both = F.when((F.size(long) == 0) | (F.length(whole) <= SHORT_NAME), F.array_union(long, F.array(whole))).otherwise(long)
+    return forms.select("provider", F.col("player_id").alias("id"), "key", F.explode(both).alias("word")).filter(F.length("word") > 0).distinct()
 
 
-def canonical_teams(rows: DataFrame) -> DataFrame:
+def candidates(forms: DataFrame, one: str, other: str) -> DataFrame:
+    """(a, b): ids of the two providers with a close word in the same team. Different words of a team are searched, not people."""
+    words = cut(search_words(forms))
+    side = lambda p: words.filter(F.col("provider") == p).select("key", "word").distinct().select("key", F.col("word").alias("id"), vector_udf("word").alias("v"))
+    close = close_in_blocks(side(one), side(other), "key")
+    of = lambda p, i, w: words.filter(F.col("provider") == p).select("key", F.col("word").alias(w), F.col("id").alias(i))
+    met = close.withColumnsRenamed({"a": "wa", "b": "wb"}).join(of(one, "a", "wa"), ["key", "wa"]).join(of(other, "b", "wb"), ["key", "wb"])
+    return met.select("a", "b").distinct()
+
+
+def canonical_teams(rows: DataFrame, one: str = "statsbomb") -> DataFrame:
     """(team, key): team names of either provider under one key; rare misspellings go to the frequent name next to them."""
-    first = F.count_if(F.col("provider") == "statsbomb")
+    first = F.count_if(F.col("provider") == one)
     named = rows.groupBy("team").agg(F.count("*").alias("n"), first.alias("n1")).withColumn("key", team_udf("team"))
     keys = named.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).withColumn("v", vector_udf("key")).withColumn("block", F.lit(0))
     keys = cut(keys)
@@ -210,26 +243,53 @@ def monotone(counts: pd.DataFrame) -> list[tuple[float, float]]:
     return [(b[0] * BIN, b[1] / b[2]) for b in blocks]
 
 
-def match_people(table: DataFrame) -> DataFrame:
+def match_people(table: DataFrame, one: str = "statsbomb", other: str = "fotmob") -> DataFrame:
     """(player_id_a, player_id_b, name_score, covered_both, covered_one, clashes, confidence, matched) of candidate pairs.
 
-    ``table``: provider (``statsbomb`` or ``fotmob``), player_id, player, team, match_date, minutes. ``a`` is the statsbomb id
+    ``table``: provider (``one`` or ``other``), player_id, player, team, match_date, minutes. ``a`` is the first provider's id
     and the smaller one wherever its ids lie below the other provider's.
     """
+    return _matched(table, one, other)[0]
+
+
+def calibration(table: DataFrame, one: str = "statsbomb", other: str = "fotmob") -> DataFrame:
+    """(bin, pairs, confidence, together): held-out reliability of the name score's confidence.
+
+    The step function is fitted on the pairs of one half of the first provider's ids (by a hash) and judged on the other half:
+    mean confidence and the share of pairs that also appear together, by tenths of the confidence.
+    """
+    seen = _matched(table, one, other)[1]
+    half = F.pmod(F.xxhash64("a"), F.lit(2)) == 0
+    p = _confidence_of_name(seen.filter(half))
+    judged = seen.filter(~half).withColumn("p", p)
+    return judged.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int").alias("bin")).agg(
+        F.count("*").alias("pairs"), F.round(F.avg("p"), 4).alias("confidence"), F.round(F.avg((F.col("appearance_dice") >= 0.5).cast("double")), 4).alias("together")
+    )
+
+
+def _confidence_of_name(seen: DataFrame):
+    """The monotone step function of the name score, as a column; at most 21 rows come to the driver."""
+    counts = seen.groupBy(F.floor(F.col("name_score") / BIN).alias("bin")).agg(F.count_if(F.col("appearance_dice") >= 0.5).alias("yes"), F.count("*").alias("all"))
+    steps = monotone(counts.toPandas()) or [(0.0, 0.02), (0.7, 0.6), (0.9, 0.95)]
+    p = F.lit(steps[0][1])
+    for edge, prob in steps:
+        p = F.when(F.col("name_score") + 1e-9 >= edge, F.lit(float(prob))).otherwise(p)
+    return F.greatest(F.least(p, F.lit(0.99)), F.lit(0.005))
+
+
+def _matched(table: DataFrame, one: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """(all candidate pairs with verdicts, those with appearances to calibrate on)."""
     rows = table.filter("player is not null and team is not null and player_id is not null").select(
         "provider", "player_id", "player", "team", "match_date", F.when(~F.isnan("minutes"), F.col("minutes")).alias("minutes")
     )
-    teams = cut(canonical_teams(rows))
+    teams = cut(canonical_teams(rows, one))
     forms = rows.groupBy("provider", "player_id", "player", "team").agg(F.count("*").alias("n")).join(teams, "team")
     forms = cut(forms.withColumn("words", words_udf("player")).select("provider", "player_id", "key", "words", "n"))
     ways = forms.groupBy("provider", "player_id").agg(F.collect_set("words").alias("ways"))
-    words = forms.select("provider", "player_id", "key", F.explode("words").alias("word")).filter(F.length("word") >= 3).distinct()
-    words = words.withColumn("v", vector_udf("word")).select("provider", F.col("player_id").alias("id"), "key", "v").distinct()
-    side = lambda p: words.filter(F.col("provider") == p)
-    pairs = close_pairs(side("statsbomb"), side("fotmob"), "key")
+    pairs = candidates(forms, one, other)
     of = lambda p, i, w: ways.filter(F.col("provider") == p).select(F.col("player_id").alias(i), F.col("ways").alias(w))
-    pairs = pairs.join(of("statsbomb", "a", "wa"), "a").join(of("fotmob", "b", "wb"), "b")
-    pairs = cut(pairs.withColumn("name_score", similarity_udf("wa", "wb")).filter("name_score >= 0.4").select("a", "b", "name_score"))
+    pairs = pairs.join(of(one, "a", "wa"), "a").join(of(other, "b", "wb"), "b")
+    pairs = cut(pairs.withColumn("name_score", similarity_udf("wa", "wb")).filter(F.col("name_score") >= LEAST).select("a", "b", "name_score"))
 
     # appearances in matches that both providers have for the team
     played = rows.join(teams, "team").filter("minutes > 0").groupBy("provider", "player_id", "key", F.col("match_date").alias("at")).agg(F.max("minutes").alias("m"))
@@ -238,23 +298,18 @@ def match_people(table: DataFrame) -> DataFrame:
     total = played.groupBy("provider", "player_id").agg(F.count("*").alias("n"))
     tot = lambda p, i, n: total.filter(F.col("provider") == p).select(F.col("player_id").alias(i), F.col("n").alias(n))
     app = lambda p, i, m: played.filter(F.col("provider") == p).select(F.col("player_id").alias(i), "at", F.col("m").alias(m))
-    met = pairs.join(app("statsbomb", "a", "ma"), "a").join(app("fotmob", "b", "mb"), ["b", "at"])
+    met = pairs.join(app(one, "a", "ma"), "a").join(app(other, "b", "mb"), ["b", "at"])
     clash = F.abs(F.col("ma") - F.col("mb")) > 12
     met = met.groupBy("a", "b").agg(F.count("*").alias("covered_both"), F.count_if(clash).alias("clashes"))
-    s = pairs.join(met, ["a", "b"], "left").join(tot("statsbomb", "a", "na"), "a", "left").join(tot("fotmob", "b", "nb"), "b", "left")
+    s = pairs.join(met, ["a", "b"], "left").join(tot(one, "a", "na"), "a", "left").join(tot(other, "b", "nb"), "b", "left")
     s = s.fillna(0, ["covered_both", "clashes", "na", "nb"])
     s = s.withColumn("covered_one", F.col("na") + F.col("nb") - 2 * F.col("covered_both"))
     dice = F.try_divide(2.0 * (F.col("covered_both") - F.col("clashes")), F.col("na") + F.col("nb"))
     s = cut(s.withColumn("appearance_dice", F.when((F.col("na") > 0) & (F.col("nb") > 0), dice)))
 
-    # calibration: how often pairs of a name score also appear together; at most 21 rows come to the driver
+    # calibration: how often pairs of a name score also appear together
     seen = s.filter("na + nb >= 3 and appearance_dice is not null")
-    counts = seen.groupBy(F.floor(F.col("name_score") / BIN).alias("bin")).agg(F.count_if(F.col("appearance_dice") >= 0.5).alias("yes"), F.count("*").alias("all"))
-    steps = monotone(counts.toPandas()) or [(0.0, 0.02), (0.7, 0.6), (0.9, 0.95)]
-    p = F.lit(steps[0][1])
-    for edge, prob in steps:
-        p = F.when(F.col("name_score") + 1e-9 >= edge, F.lit(float(prob))).otherwise(p)
-    p = F.greatest(F.least(p, F.lit(0.99)), F.lit(0.005))
+    p = _confidence_of_name(seen)
     evidence = BOTH * (F.col("covered_both") - F.col("clashes")) + ONE * F.col("covered_one") + CLASH * F.col("clashes")
     evidence = F.greatest(F.least(evidence, F.lit(6.0)), F.lit(-6.0))
     logit = F.ln(p / (1 - p)) + F.when((F.col("na") > 0) & (F.col("nb") > 0), evidence).otherwise(0.0)
@@ -268,12 +323,13 @@ def match_people(table: DataFrame) -> DataFrame:
     top = s.filter("best_b").select("b", F.col("a").alias("first"), F.col("name_score").alias("first_score"))
     second = s.filter(f"best_a and not best_b and confidence >= {THRESHOLD} and name_score >= 0.75").select("a", "b", "name_score").join(top, "b")
     second = second.filter("name_score >= 0.8 * first_score")
-    when = rows.filter("provider = 'statsbomb' and minutes > 0").select("player_id", "match_date").distinct()
+    when = rows.filter((F.col("provider") == one) & (F.col("minutes") > 0)).select("player_id", "match_date").distinct()
     beside = second.join(when.select(F.col("player_id").alias("a"), "match_date"), "a").join(when.select(F.col("player_id").alias("first"), "match_date"), ["first", "match_date"])
     second = second.select("a", "b").join(beside.select("a", "b"), ["a", "b"], "left_anti").withColumn("again", F.lit(True))
     s = s.join(second, ["a", "b"], "left")
     matched = F.coalesce((F.col("confidence") >= THRESHOLD) & F.col("best_a") & (F.col("best_b") | F.coalesce("again", F.lit(False))), F.lit(False))
-    return s.select(
+    out = s.select(
         F.least("a", "b").alias("player_id_a"), F.greatest("a", "b").alias("player_id_b"), "name_score", "covered_both", "covered_one", "clashes",
         "confidence", matched.alias("matched"),
     )
+    return out, seen

@@ -33,6 +33,10 @@ def p4_matches(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_people(read(spark, d, "combined_player_match"))
 
 
+def p4_calibration(spark: SparkSession, d: str) -> DataFrame:
+    return matching.calibration(read(spark, d, "combined_player_match"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, d, "documents"))
 
@@ -61,7 +65,7 @@ def p8_mappings(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_names, p4_found, p4_matches, p6_ids, p7_mix, p7_shares, p8_found, p8_restored, p8_mappings)
+        for f in (p1_found, p1_names, p4_found, p4_matches, p4_calibration, p6_ids, p7_mix, p7_shares, p8_found, p8_restored, p8_mappings)
     }
 
 

@@ -590,3 +590,19 @@ def all_teams(spark, d):
     """Distinct teams of both columns."""
     t = read(spark, d, "espn_team_match")
     return t.select("team").union(t.select("opponent")).distinct().dropna()
+
+
+@query()
+def match_player_passes(spark, d):
+    """Pass counts of players from match-detail records."""
+    from touchline.sources import readers
+
+    return readers.match_passes(read(spark, d, "matchdetails"))
+
+
+@query()
+def match_training_rows(spark, d):
+    """Corpus rows from match-detail records of international football."""
+    from touchline.sources import readers
+
+    return readers.training_rows(read(spark, d, "matchdetails"))

@@ -41,12 +41,20 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, d, "documents"))
 
 
-def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(p7_mix(spark, d), read(spark, d, "mix_targets"))
+    return mixing.shares(_mixed(spark, d), read(spark, d, "mix_targets"))
+
+
+def p7_marginals(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.marginals(_mixed(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +73,7 @@ def p8_mappings(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_names, p4_found, p4_matches, p4_calibration, p6_ids, p7_mix, p7_shares, p8_found, p8_restored, p8_mappings)
+        for f in (p1_found, p1_names, p4_found, p4_matches, p4_calibration, p6_ids, p7_mix, p7_shares, p7_marginals, p8_found, p8_restored, p8_mappings)
     }
 
 

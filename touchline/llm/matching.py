@@ -87,7 +87,6 @@ def vector(word: str) -> int:
     return out - (1 << 64) if out >> 63 else out
 
 
-@lru_cache(maxsize=500_000)
 def _edits(a: str, b: str) -> int:
     """Edit distance with transpositions."""
     before, row = None, list(range(len(b) + 1))
@@ -101,6 +100,7 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=500_000)
 def word_similarity(a: str, b: str) -> float:
     if a == b:
         return 1.0 if len(a) > 1 else 0.6
@@ -288,7 +288,9 @@ def _matched(table: DataFrame, one: str, other: str) -> tuple[DataFrame, DataFra
     ways = forms.groupBy("provider", "player_id").agg(F.collect_set("words").alias("ways"))
     pairs = candidates(forms, one, other)
     of = lambda p, i, w: ways.filter(F.col("provider") == p).select(F.col("player_id").alias(i), F.col("ways").alias(w))
-    pairs = pairs.join(of(one, "a", "wa"), "a").join(of(other, "b", "wb"), "b")
+    # few bytes, much work a pair: a number of partitions that isn't merged again
+    many = 4 * table.sparkSession.sparkContext.defaultParallelism
+    pairs = pairs.join(of(one, "a", "wa"), "a").repartition(many, "b").join(of(other, "b", "wb"), "b")
     pairs = cut(pairs.withColumn("name_score", similarity_udf("wa", "wb")).filter(F.col("name_score") >= LEAST).select("a", "b", "name_score"))
 
     # appearances in matches that both providers have for the team

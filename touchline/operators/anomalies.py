@@ -211,21 +211,26 @@ def _histogram(name: str, keys, codes: np.ndarray, values: np.ndarray) -> pd.Dat
     return pd.DataFrame({"name": name, "of": np.asarray(keys, dtype=object)[got["c"].to_numpy(np.int64)] if len(got) else [], "bin": got["bin"], "n": got["n"].astype(float)})
 
 
+def _rates(r: Readings, use: np.ndarray) -> pd.DataFrame:
+    """Histogram of the log rates a feed and position."""
+    both = r.feed * len(r.positions) + r.position
+    names = [f"{f}{SEP}{p}" for f in r.feeds for p in r.positions]
+    return _histogram("rate", names, both[use], r.rate[use])
+
+
+SEP = "\x00"
+
+
 def _sums(r: Readings, fit: Fit, limits: Limits) -> pd.DataFrame:
     """What a partition adds to the next fit: histograms and sums a feed and position, of its own readings only."""
-    use = r.usable & r.own
     if not fit.level:
-        return _histogram("level", r.feeds, r.feed[use], r.rate[use])
-    level = _of(fit.level, r.feeds, r.feed)
-    if not fit.position:
-        return _histogram("position", r.positions, r.position[use], (r.rate - level)[use])
+        return _rates(r, r.usable & r.own)
     d = detect(r, fit, limits)
     use = d["use"] & r.own
-    parts = [_histogram("level", r.feeds, r.feed[use], r.rate[use]), _histogram("position", r.positions, r.position[use], (r.rate - level)[use])]
     pair = use & ~np.isnan(d["before"])
     size = 3 * _of(fit.scale, r.feeds, r.feed, 0.5)
     a, b = np.clip(d["residual"], -size, size)[pair], np.clip(d["before"], -size, size)[pair]
-    parts.append(_histogram("scale", r.feeds, r.feed[pair], np.abs(d["innovation"][pair])))
+    parts = [_rates(r, use), _histogram("scale", r.feeds, r.feed[pair], np.abs(d["innovation"][pair]))]
     for name, v in (("cross", a * b), ("square", b * b)):
         parts.append(pd.DataFrame({"name": name, "of": np.asarray(r.feeds, dtype=object), "bin": 0, "n": np.bincount(r.feed[pair], v, len(r.feeds))}))
     parts.append(pd.DataFrame({"name": ["out"], "of": ["?"], "bin": [0], "n": [float((d["out"] & r.own).sum())]}))
@@ -234,32 +239,38 @@ def _sums(r: Readings, fit: Fit, limits: Limits) -> pd.DataFrame:
 
 def _medians(rows: pd.DataFrame) -> dict[str, float]:
     out = {}
-    for of, g in rows.sort_values("bin").groupby("of"):
+    for of, g in rows.groupby(["of", "bin"])["n"].sum().reset_index().groupby("of"):
         total = g["n"].cumsum()
         out[of] = (g["bin"].iloc[int(np.searchsorted(total, total.iloc[-1] / 2))] + 0.5) / 100
     return out
 
 
+def _levels(rates: pd.DataFrame) -> Fit:
+    """Medians of the feeds, and of the positions once the feed's is off."""
+    split = rates["of"].str.split(SEP, n=1, expand=True)
+    level = _medians(rates.assign(of=split[0]))
+    shifted = rates.assign(of=split[1], bin=rates["bin"] - (split[0].map(level) * 100).round().astype("int64"))
+    return Fit(level, _medians(shifted))
+
+
 def fit_sources(seq: DataFrame, around: dict, limits: Limits) -> Fit:
     """Levels, coefficients and scales of all sources; every round is one pass whose sums are a few rows a feed and position."""
     fit = Fit()
-    for _ in range(limits.rounds + 2):
+    for _ in range(limits.rounds + 1):
         work = lambda f, fit=fit: _sums(Readings(f, limits), fit, limits)
         got = sequences.map_with_margins(seq, around, work, "name string, of string, bin long, n double")
         rows = got.groupBy("name", "of", "bin").agg(F.sum("n").alias("n")).toPandas()
         part = {n: g for n, g in rows.groupby("name")}
-        if not len(rows):
+        if "rate" not in part:
             return fit
+        new = _levels(part["rate"])
         if not fit.level:
-            fit = Fit(_medians(part["level"]))
-            continue
-        if not fit.position:
-            fit = Fit(fit.level, _medians(part["position"]))
+            fit = new
             continue
         scale = {of: 1.4826 * m for of, m in _medians(part["scale"]).items()} if "scale" in part else {}
         cross, square = (part[k].groupby("of")["n"].sum() if k in part else {} for k in ("cross", "square"))
-        phi = {of: float(np.clip(cross[of] / square[of], -0.5, 0.95)) for of in scale if square[of] > 0}
-        new = Fit(_medians(part["level"]), _medians(part["position"]), phi, {k: max(v, 0.05) for k, v in scale.items()}, int(part["out"]["n"].sum()))
+        new.phi = {of: float(np.clip(cross[of] / square[of], -0.5, 0.95)) for of in scale if square[of] > 0}
+        new.scale, new.outliers = {k: max(v, 0.05) for k, v in scale.items()}, int(part["out"]["n"].sum())
         still = new.outliers == fit.outliers and all(abs(new.phi[k] - fit.phi.get(k, 9)) < 0.01 for k in new.phi)
         fit = new
         if still:

@@ -62,6 +62,13 @@ def test_rare_script_beside_a_large_corpus(spark):
     assert {r["doc_id"]: r["restored"] for r in M.restored_documents(docs).collect()} == {40_000 + i: f"{g} {90 + i}" for i, g in enumerate(greek)}
 
 
+def test_letters_that_happen_to_be_sequences(spark):
+    """Under a learned reading Latin neighbours may be a Cyrillic letter's bytes: no word of two scripts is restored."""
+    rows = [(i, f"{WORDS[i % 16]} und {WORDS[(i * 7 + 3) % 16]} Вася {i}") for i in range(320)] + [(900, "Jogelinðør kam"), (901, "Лев и Яна"), (902, "Лев"), (903, "Л я"), (904, "Лев да")]
+    bad = [(1000 + i, f"dort {w} eins {i}".encode().decode("cp850")) for i, w in enumerate(WORDS)]
+    assert garbled(spark.createDataFrame(rows + bad, "doc_id long, text string")) == {i for i, _ in bad}
+
+
 def test_spelling_variants_are_no_garbling(spark):
     rows = [(i, f"cant{'éá'[i % 2]} habl{'áé'[i % 3 == 0]} est{'é' if i % 5 else 'á'} voix {'ÎÏ'[i % 2]}lot num {i}") for i in range(600)]
     assert garbled(spark.createDataFrame(rows, "doc_id long, text string")) == set()

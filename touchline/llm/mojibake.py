@@ -10,8 +10,8 @@ and hardly ever the other way round, are *learned*. Codecs are looked at only he
 What was learned is then applied to every word of the corpus:
 
 * byte sequences that are strict UTF-8 under a learned reading are restored, as often as that goes (text garbled more than
-  once), if no other letter beyond ASCII is in the word and the result is made of characters that words not garbled use, or
-  else if it is a word of the corpus;
+  once), if no other letter beyond ASCII is in the word and the result is of one script and made of characters that words not
+  garbled use, or else if it is a word of the corpus;
 * readings of single bytes as other single bytes, and of two bytes as one character, are ambiguous: their result must be a
   word of the corpus, and for single bytes one that many more texts hold.
 
@@ -31,6 +31,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from touchline.llm.confusables import intersect
 from touchline.session import cut
 
 _WIDE = "\\x{80}-\\x{1FFF}\\x{200B}-\\x{2027}\\x{202A}-\\x{202E}\\x{2030}-\\x{2FFF}\\x{3001}-\\x{10FFFF}"
@@ -317,7 +318,7 @@ def mappings(found: DataFrame, known: dict[str, int]) -> DataFrame:
 
 def apply_learned(vocab: DataFrame, support: dict[str, int]) -> DataFrame:
     """(word, texts, transformation, support, restored, whole): each word under the learned transformations that fit; ``restored`` is
-    NULL for none, ``whole`` says that no letter beyond ASCII is left as it was."""
+    NULL for none, ``whole`` says that no letter beyond ASCII is left as it was and that the result is of one script."""
     ranked = sorted(support, key=lambda t: (-support[t], t))
     utf8 = [t for t in ranked if t.endswith(">utf-8")]
     swaps = [t for t in ranked if not t.endswith(">utf-8")]
@@ -336,8 +337,9 @@ def apply_learned(vocab: DataFrame, support: dict[str, int]) -> DataFrame:
                 for t in utf8:
                     if (got := decode_sequences(word, t.partition(">")[0])) is not None:
                         s = deeper(got[0])
-                        if s not in forms or got[1] and not forms[s][1]:
-                            forms[s] = (t, got[1])
+                        sure = got[1] and bool(intersect(s))  # a word of two scripts is no word restored
+                        if s not in forms or sure and not forms[s][1]:
+                            forms[s] = (t, sure)
                 if not any(whole for _, whole in forms.values()):
                     for t in swaps:
                         if (s := transform(word, t)) is not None:

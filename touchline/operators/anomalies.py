@@ -225,7 +225,7 @@ def _sums(r: Readings, fit: Fit, limits: Limits) -> pd.DataFrame:
     """What a partition adds to the next fit: histograms and sums a feed and position, of its own readings only."""
     if not fit.level:
         return _rates(r, r.usable & r.own)
-    d = detect(r, fit, limits)
+    d = detect(r, fit, limits, inner=2)  # the rounds go on with what is left
     use = d["use"] & r.own
     pair = use & ~np.isnan(d["before"])
     size = 3 * _of(fit.scale, r.feeds, r.feed, 0.5)

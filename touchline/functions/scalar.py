@@ -182,12 +182,16 @@ def nb_tail(mu: Column, alpha: Column, threshold: Column) -> Column:
 
 
 def crps(samples: Column, y: Column) -> Column:
-    """Energy form over a sorted array: mean |x - y| - sum((2i - n - 1) x_i) / n^2."""
-    s = F.array_sort(F.filter(samples, lambda x: x.isNotNull()))
-    n = F.size(s).cast("double")
-    near = F.aggregate(s, F.lit(0.0), lambda a, x: a + F.abs(x - y)) / n
-    spread = F.aggregate(F.transform(s, lambda x, i: x * (2 * (i + 1) - n - 1)), F.lit(0.0), lambda a, x: a + x) / (n * n)
-    return F.when(n > 0, near - spread)
+    """Energy form over a sorted array: mean |x - y| - sum((2i - n - 1) x_i) / n^2. One fold: the array is sorted once a row."""
+    s = F.sort_array(F.filter(samples, lambda x: x.isNotNull()))
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("near"), F.lit(0.0).alias("all"), F.lit(0.0).alias("placed"))
+
+    def add(a: Column, x: Column) -> Column:
+        n = a["n"] + 1
+        return F.struct(n.alias("n"), (a["near"] + F.abs(x - y)).alias("near"), (a["all"] + x).alias("all"), (a["placed"] + 2 * n * x).alias("placed"))
+
+    n = lambda a: a["n"]
+    return F.aggregate(s, zero, add, lambda a: F.when(n(a) > 0, a["near"] / n(a) - (a["placed"] - (n(a) + 1) * a["all"]) / (n(a) * n(a))))
 
 
 def log_loss(p: Column, y: Column, clip: float = 1e-6) -> Column:

@@ -66,10 +66,10 @@ def run_fold(player_match: DataFrame, fold: splits.Fold, results: DataFrame | No
     feats = cut(features.build(cut(minutes.recent_start_prob(cut(both))), style, results, possession))
     train = labelled(feats.filter("not is_test"))
     levels, fitted = rate.fit(rate.by_player(modelled(train, train).select(*KEEP)), sweeps)
-    test = modelled(feats.filter("is_test and coalesce(started, false) and passes_attempted is not null"), train)
+    test = cut(modelled(feats.filter("is_test and coalesce(started, false) and passes_attempted is not null"), train))
     drawn = cut(rate.predict(test.select(*KEEP, "p_start"), levels, fitted, draws, minutes=None if actual_minutes else minutes.fit(fold.train)))
     scored = drawn.join(test.select("row_id", "match_id", "player_id", F.col("passes_attempted").alias("y")), "row_id")
-    low, high = (F.expr(f"array_sort(samples)[cast(round({q} * (size(samples) - 1)) as int)]") for q in (0.1, 0.9))
+    low, high = (F.expr(f"sort_array(samples)[cast(round({q} * (size(samples) - 1)) as int)]") for q in (0.1, 0.9))
     mean = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / F.size("samples")
     scored = scored.join(baseline(fold.train, test), "row_id").select("*", S.crps(F.col("samples"), F.col("y")).alias("crps"), F.abs(mean - F.col("y")).alias("error"), F.col("y").between(low, high).cast("double").alias("inside"))
     out = scored.agg(F.count("*").alias("n_test"), F.avg("crps").alias("crps"), F.avg("error").alias("mae"), F.avg("inside").alias("coverage"), F.avg("base_crps").alias("base_crps"))

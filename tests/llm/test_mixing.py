@@ -36,3 +36,33 @@ def test_topics_follow_the_form_of_texts(spark):
     topic = {r["doc_id"]: r["topic"] for r in M.sized_texts(docs, targets).collect()}
     kinds = [{topic[i] for i in range(120) if i % 3 == k} for k in range(3)]
     assert not kinds[0] & kinds[1] and not kinds[1] & kinds[2] and not kinds[0] & kinds[2]
+
+
+def test_topics_are_fitted_on_all_texts(spark, monkeypatch):
+    # a small sample misses the rare kind
+    monkeypatch.setattr(M, "FITTED_ON", 20, raising=False)
+    rows = [(i, ("| 12 | 34 |\n" * 30, "A long report of what happened in the match that evening. " * 20, "lol!")[i % 3] + str(i), "en", "big") for i in range(900)]
+    rows += [(1000 + i, "0123456789" * 40 + str(i), "en", "big") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_weight double, max_repeats int")
+    got = {r["doc_id"]: r["topic"] for r in M.sized_texts(docs, targets).collect()}
+    rare, rest = ({t for i, t in got.items() if (i >= 1000) == x} for x in (True, False))
+    assert len(got) == 904 and not rare & rest
+    assert got == {r["doc_id"]: r["topic"] for r in M.sized_texts(docs.orderBy("text").repartition(7), targets).collect()}
+
+
+def test_centres_are_the_means_of_their_rows(spark):
+    import numpy as np
+
+    from touchline.llm import clusters
+
+    x = np.random.default_rng(0).normal(size=(500, 2)) + np.arange(500)[:, None] % 4 * 20
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, a double, b double")
+    got = clusters.centres(clusters.packed(df, df["i"], ["a", "b"]), 2, 4)
+    want = np.array([x[k::4].mean(0) for k in range(4)])
+    assert np.abs(got - want).max() < 1e-8
+    at = {r["i"]: r["k"] for r in df.select("i", clusters.nearest(["a", "b"], got).alias("k")).collect()}
+    assert all(at[i] == i % 4 for i in range(500))
+    same = df.select("i", (df["i"] * 0).alias("a"), (df["i"] % 2).alias("b"))
+    assert {tuple(c) for c in clusters.centres(clusters.packed(same, same["i"], ["a", "b"]), 2, 4)} == {(0, 0), (0, 1)}
+    assert clusters.centres(clusters.packed(df.limit(3), df["i"], ["a", "b"]), 2, 4) is None and clusters.centres(clusters.packed(df.limit(0), df["i"], ["a", "b"]), 2, 4) is None

@@ -17,15 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from touchline.llm import clusters
 from touchline.llm.tokens import count_tokens
 from touchline.session import cut
 
-#: Topics; texts they are fitted on (those of the lowest hashes); bins of the draw; sweeps of the fit.
-TOPICS, FITTED_ON, BINS, SWEEPS = 8, 20_000, 2000, 200
+#: Topics; bins of the draw; sweeps of the fit.
+TOPICS, BINS, SWEEPS = 8, 2000, 200
 
 
 def form_features(text: Column) -> list[Column]:
@@ -41,11 +40,9 @@ def form_features(text: Column) -> list[Column]:
 FEATURES = ("f_length", "f_digits", "f_capitals", "f_lines", "f_quotes", "f_tables")
 
 
-def fit_topics(texts: DataFrame, seed: int = 1) -> KMeansModel | None:
-    """Kinds of text (reports, posts, tables, interviews, ...) as clusters of their form, fitted on a bounded sample; None without texts."""
-    sample = texts.orderBy("u").limit(FITTED_ON)
-    data = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.select(*FEATURES)))
-    return KMeans(k=TOPICS, seed=seed).fit(data) if data.limit(TOPICS).count() == TOPICS else None
+def fit_topics(texts: DataFrame) -> np.ndarray | None:
+    """Kinds of text (reports, posts, tables, interviews, ...) as clusters of their form, fitted on all texts; None with fewer texts than kinds."""
+    return clusters.centres(clusters.packed(texts, F.col("u"), list(FEATURES)), len(FEATURES), TOPICS)
 
 
 def sized_texts(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
@@ -55,11 +52,8 @@ def sized_texts(docs: DataFrame, targets: DataFrame, path: str | None = None) ->
     narrow = sized.select("doc_id", "source", F.coalesce("lang", F.lit("?")).alias("lang"), "n_tokens", F.md5(F.col("text").cast("binary")).alias("text_key"), *form_features(F.col("text")))
     one = narrow.groupBy("text_key").agg(F.min_by(F.struct("doc_id", "source", "lang", "n_tokens", *FEATURES), "doc_id").alias("r"))
     one = cut(one.select("r.*", (F.pmod(F.xxhash64("text_key"), F.lit(1 << 40)) / float(1 << 40)).alias("u")))
-    model = fit_topics(one)
-    if model is None:
-        return one.withColumn("topic", F.lit(0)).drop(*FEATURES)
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(one)
-    return model.transform(data).withColumnRenamed("prediction", "topic").drop("features", *FEATURES)
+    kinds = fit_topics(one)
+    return one.withColumn("topic", F.lit(0) if kinds is None else clusters.nearest(list(FEATURES), kinds)).drop(*FEATURES)
 
 
 def rake(cells: pd.DataFrame, shares: dict[str, float], caps: dict[str, int], total: float | None) -> pd.DataFrame:

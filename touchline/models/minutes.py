@@ -53,5 +53,11 @@ def sample(model: MinutesModel, rng: np.random.Generator, draws: int, p_start: f
 
 def recent_start_prob(player_match: DataFrame, half_life: float = 5.0, out: str = "p_start") -> DataFrame:
     """``player_match`` with the recency-weighted share of starts strictly before each match; one half without history."""
+    return attach_start_prob(player_match, player_match, half_life, out)
+
+
+def attach_start_prob(rows: DataFrame, player_match: DataFrame, half_life: float = 5.0, out: str = "p_start") -> DataFrame:
+    """:func:`recent_start_prob` for some ``rows`` of ``player_match`` only."""
     started: Column = F.coalesce(F.col("started"), F.lit(False)).cast("double")
-    return asof.decay_mean(player_match, ["player_id"], "match_date", ["match_id"], started, half_life, out).withColumn(out, F.coalesce(out, F.lit(0.5)))
+    found = asof.decay_means(player_match, ["player_id"], "match_date", ["match_id"], started, half_life, out)
+    return asof.attach(rows, found, ["player_id", "match_date"]).withColumn(out, F.coalesce(out, F.lit(0.5)))

@@ -24,13 +24,13 @@ def before(facts: DataFrame, probes: DataFrame, by: list[str], at: str, sums: di
     """(by, at, sums, last): over the facts strictly before each different (key, instant) of ``probes``.
 
     ``sums``: name -> column of ``facts`` to add up, NULL if there was none; ``last``: a column whose latest value comes out, the
-    greatest of one instant; NULL values of it are passed over. Rows of one instant are combined map-side.
+    greatest of one instant; NULL values of it are passed over. Rows of one instant are combined map-side. A table that is both is read once.
     """
     fact = F.struct(F.col(at).alias("at"), last.alias("v")) if last is not None else F.struct(F.col(at).alias("at"), F.lit(None).cast("int").alias("v"))
     fact = F.when(last.isNotNull(), fact) if last is not None else fact
-    f = facts.select(*by, at, *[c.alias(f"_s_{n}") for n, c in sums.items()], fact.alias("_last"), F.lit(0).alias("_probe"))
+    f = facts.select(*by, at, *[c.alias(f"_s_{n}") for n, c in sums.items()], fact.alias("_last"), F.lit(int(probes is facts)).alias("_probe"))
     none = [F.lit(None).cast(t).alias(c) for c, t in f.dtypes if c not in (*by, at, "_probe")]
-    both = f.unionByName(probes.select(*by, at, *none, F.lit(1).alias("_probe")))
+    both = f if probes is facts else f.unionByName(probes.select(*by, at, *none, F.lit(1).alias("_probe")))
     names = [f"_s_{n}" for n in sums]
     each = both.groupBy(*by, at).agg(*[F.sum(n).alias(n) for n in names], F.max("_last").alias("_last"), F.max("_probe").alias("_probe"))
     each = each.withColumn("_day", F.to_date(at) if dict(each.dtypes)[at] != "date" else F.trunc(at, "month"))

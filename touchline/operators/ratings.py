@@ -99,7 +99,7 @@ def attach_ratings(df: DataFrame, results: DataFrame, possession: DataFrame, pro
     probes = df if probes is None else probes
     sides = probes.select("team", "match_date").union(probes.select("opponent", "match_date")).distinct()
     sides = cut(sides.select("team", team_name(F.col("team")).alias("_name"), F.col("match_date").alias("_at")))
-    known = asof.asof_last(sides, rated.select(F.col("team").alias("_name"), F.col("at").alias("_at"), "rating"), "_name", "_at", "rating", "elo")
+    known = cut(asof.asof_last(sides, rated.select(F.col("team").alias("_name"), F.col("at").alias("_at"), "rating"), "_name", "_at", "rating", "elo"))
     known = asof.asof_last(known, means.select(F.col("team").alias("_name"), F.col("at").alias("_at"), "mean"), "_name", "_at", "mean", "poss")
     known = cut(known.select("team", F.col("_at").alias("match_date"), F.coalesce("elo", F.lit(start)).alias("elo"), "poss"))
     out = df

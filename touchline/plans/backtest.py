@@ -13,6 +13,8 @@ from touchline.session import cut
 
 #: Fewer plays than this make a return noise.
 FEW_PLAYS = 50
+#: Columns of the corpus that a fold reads: its copies on disk hold no others.
+NEEDED = ("row_id", "match_id", "match_date", "competition", "provider", "team", "opponent", "player_id", "position", "minutes", "passes_attempted", "started", "is_friendly", "is_qualifier", "is_test")
 KEEP = ("row_id", *rate.GROUPS, "player_id", "opp_style", "prior", "minutes", "passes_attempted", *rate.FEATURES)
 
 
@@ -63,10 +65,12 @@ def run_fold(player_match: DataFrame, fold: splits.Fold, results: DataFrame | No
     splits.assert_disjoint(fold.train, fold.test)
     style = styles.clusters(styles.profiles(ratings.team_match(fold.train)))
     both = fold.train.withColumn("is_test", F.lit(False)).unionByName(fold.test.withColumn("is_test", F.lit(True)))
-    feats = cut(features.build(cut(minutes.recent_start_prob(cut(both))), style, results, possession))
+    both = both.select(*[c for c in both.columns if c in NEEDED])
+    feats = cut(features.build(both, style, results, possession))
     train = labelled(feats.filter("not is_test"))
     levels, fitted = rate.fit(rate.by_player(modelled(train, train).select(*KEEP)), sweeps)
-    test = cut(modelled(feats.filter("is_test and coalesce(started, false) and passes_attempted is not null"), train))
+    test = modelled(feats.filter("is_test and coalesce(started, false) and passes_attempted is not null"), train)
+    test = cut(minutes.attach_start_prob(test, both))
     drawn = cut(rate.predict(test.select(*KEEP, "p_start"), levels, fitted, draws, minutes=None if actual_minutes else minutes.fit(fold.train)))
     scored = drawn.join(test.select("row_id", "match_id", "player_id", F.col("passes_attempted").alias("y")), "row_id")
     low, high = (F.expr(f"sort_array(samples)[cast(round({q} * (size(samples) - 1)) as int)]") for q in (0.1, 0.9))

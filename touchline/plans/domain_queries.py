@@ -297,7 +297,8 @@ def baseline_score(spark, d):
 @query()
 def holdout_backtest(spark, d):
     """Scores of the last walk-forward fold: the final holdout."""
-    pm = cut(player_match(spark, d))
+    rows = player_match(spark, d)
+    pm = cut(rows.select(*[c for c in rows.columns if c in backtest.NEEDED]))
     espn = cut(_espn(spark, d))
     return backtest.run_fold(pm, splits.final_holdout(pm), _results(espn), espn.select("team", "at", "possession"))
 
